@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import langid, sentencepiece, simhash
+from matchlake.llm import ann, gru, langid, lines, mixing, nndescent, paragraphs, sentencepiece, simhash, suffixes
 from matchlake.llm._common import crc_remainder
 
 #: File of the public tokenizers package that op2 encodes with.
@@ -44,9 +44,60 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+#: Shares of all tokens that op1 mixes to, by the domain that `labels` gives a document.
+MIX = {"good": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of a labels table: toxic before all, else by quality; nothing known: no domain."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+
+
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return found.select("doc_id", n.cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98).withColumnRenamed("id", "vec_id")
+
+
+def op9_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_remainder("doc_id", 5) == 1, F.lit(False))
+    found = gru.score_documents(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_paragraphs": op3_paragraphs,
+    "op4_neighbours": op4_neighbours,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_lines": op7_lines,
+    "op8_embeddings": op8_embeddings,
+    "op9_gru": op9_gru,
+    "op10_suffixes": op10_suffixes,
 }
 ORACLE: dict[str, str] = {}
