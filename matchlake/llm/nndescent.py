@@ -66,8 +66,11 @@ def trees_for(size: int, threshold: float = THRESHOLD, recall: float = RECALL, l
 
 
 def lists_in(ids: np.ndarray, similar: np.ndarray, others: np.ndarray, k: int, threshold: float):
-    """Each row's neighbour list: the k nearest, enlarged while the last is still over the threshold."""
-    a, b, s = [], [], []
+    """(a, b, s, r): each row's neighbour list, the k nearest, enlarged while the last is still over the threshold.
+
+    r is the neighbour's place in the list.
+    """
+    a, b, s, r = [], [], [], []
     take = min(k, similar.shape[1])
     while True:
         part = np.argpartition(-similar, take - 1, axis=1)[:, :take] if take < similar.shape[1] else np.broadcast_to(np.arange(similar.shape[1]), similar.shape)
@@ -79,14 +82,15 @@ def lists_in(ids: np.ndarray, similar: np.ndarray, others: np.ndarray, k: int, t
         a.append(ids[i])
         b.append(others[part[i, j]])
         s.append(value[i, j])
+        r.append(np.argsort(np.argsort(-value, axis=1, kind="stable"), axis=1)[i, j])
         if not saturated.any():
-            return np.concatenate(a), np.concatenate(b), np.concatenate(s)
+            return np.concatenate(a), np.concatenate(b), np.concatenate(s), np.concatenate(r)
         ids, similar = ids[saturated], similar[saturated]
         take = min(2 * take, similar.shape[1])
 
 
 def _tile_lists(keyed: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Neighbour lists (a, b, s) within each key of ``keyed`` (key, id, v); a larger key is compared tile by tile."""
+    """Neighbour lists (a, b, s, r) within each key of ``keyed`` (key, id, v); a larger key is compared tile by tile."""
     spark = keyed.sparkSession
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles >= 1")
     rows = keyed.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
@@ -106,11 +110,11 @@ def _tile_lists(keyed: DataFrame, threshold: float, k: int) -> DataFrame:
                 parts.append(lists_in(ids[left], similar, ids[right], k, threshold))
             else:
                 parts += [lists_in(ids[left], similar, ids[right], k, threshold), lists_in(ids[right], similar.T, ids[left], k, threshold)]
-        a, b, s = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
-        return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "s": np.asarray(s, np.float64)})
+        a, b, s, r = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [], [])
+        return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "s": np.asarray(s, np.float64), "r": np.asarray(r, np.int64)})
 
     n = partitions(spark)
-    return rows.repartition(n, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(compare, "a long, b long, s double")
+    return rows.repartition(n, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(compare, "a long, b long, s double, r long")
 
 
 def _trees(nodes: DataFrame, first: int, count: int, depths: dict, dim: int, seed: int = 17) -> DataFrame:
@@ -135,13 +139,14 @@ def _trees(nodes: DataFrame, first: int, count: int, depths: dict, dim: int, see
     return nodes.mapInPandas(leaves, "key string, id long, v array<double>")
 
 
-def _refined(lists: DataFrame, nodes: DataFrame, fresh: DataFrame, floor: float) -> DataFrame:
-    """New (a, b, s) from neighbours of neighbours with at least one fresh edge, both over ``floor``.
+def _refined(lists: DataFrame, nodes: DataFrame, fresh: DataFrame, floor: float, k: int) -> DataFrame:
+    """New (a, b, s, r) from neighbours of neighbours with at least one fresh edge, both over ``floor``.
 
-    Two vectors within the threshold's angle of a third are at most twice that angle
+    Only the first ``k`` places of a list are joined, so a family of m near copies gives
+    about m k^2 pairs and not m^3. Two vectors within the threshold's angle of a third are at most twice that angle
     apart, so a middle vector that could tell of a link is over the floor.
     """
-    near, new = lists.where(F.col("s") >= floor), fresh.where(F.col("s") >= floor)
+    near, new = (e.where((F.col("s") >= floor) & (F.col("r") < k)) for e in (lists, fresh))
     both = near.select(F.col("a").alias("m"), F.col("b").alias("z")).union(near.select(F.col("b").alias("m"), F.col("a").alias("z"))).distinct()
     some = new.select(F.col("a").alias("m"), F.col("b").alias("y")).union(new.select(F.col("b").alias("m"), F.col("a").alias("y"))).distinct()
     pairs = some.join(both, "m").where("y != z").select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b")).distinct()
@@ -156,9 +161,9 @@ def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def score(batches):
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "s": (unit(_matrix(pdf["x"])) * unit(_matrix(pdf["y"]))).sum(axis=1)})
+                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "s": (unit(_matrix(pdf["x"])) * unit(_matrix(pdf["y"]))).sum(axis=1), "r": 0})
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(score, "a long, b long, s double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(score, "a long, b long, s double, r long")
 
 
 def _audit(nodes: DataFrame, links: DataFrame, count: int, threshold: float) -> float:
@@ -201,7 +206,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     copies = checkpointed(rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     nodes = copies.select(F.col("rep").alias("id"), "label", "v", "copies")
     per = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    empty = spark.createDataFrame([], "a long, b long, s double")
+    empty = spark.createDataFrame([], "a long, b long, s double, r long")
     links, trees, depths = empty, 0, {}
     for dim in sorted({int(x.rsplit(":", 1)[1]) for x in per}):
         own = {x: n for x, n in per.items() if x.endswith(f":{dim}")}
@@ -226,12 +231,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def _links(nodes: DataFrame, depths: dict, trees: int, dim: int, threshold: float, k: int) -> DataFrame:
     """Links (a, b, s), a < b, of vectors of one length: start, descend, audit, and again if recall is short."""
     floor = math.cos(min(math.pi / 2, 2 * math.acos(min(1.0, threshold))))
-    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "r").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("r").alias("r"))
     lists = checkpointed(ordered(_tile_lists(_trees(nodes, 0, trees, depths, dim), threshold, k).where(F.col("s") >= floor)))
     for again in range(MORE_TREES + 1):
         fresh = lists
         for _ in range(ROUNDS):
-            more = checkpointed(ordered(_refined(lists, nodes, fresh, floor)).where(F.col("s") >= floor))
+            more = checkpointed(ordered(_refined(lists, nodes, fresh, floor, k)).where(F.col("s") >= floor))
             if not more.where(F.col("s") >= threshold).limit(1).count():
                 break
             lists, fresh = checkpointed(lists.union(more)), more
