@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,9 +186,10 @@ def classes(rows: np.ndarray):
     """f(depth): for each row a number that rows with the same first ``depth`` bytes share."""
     order = deep_shallow_order(rows)
     common = np.zeros(len(rows), np.int64)
-    if len(rows) > 1:
-        differ = rows[order[1:]] != rows[order[:-1]]
-        common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    for at in range(1, len(rows), 1 << 15):
+        some = order[at - 1 : at + (1 << 15)]
+        differ = rows[some[1:]] != rows[some[:-1]]
+        common[at : at + (1 << 15)] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     back = np.empty(len(rows), np.int64)
     back[order] = np.arange(len(rows))
     return lambda depth: np.cumsum(common < depth)[back]
@@ -222,8 +224,9 @@ def repeated(left: np.ndarray, right: np.ndarray, least: np.ndarray, most: np.nd
 
 # ---------------------------------------------------------------- distributed plan
 
-_ANCHOR = np.dtype([("h", "<u8"), ("row", "<i4"), ("pos", "<i8")])
-_REPLY = np.dtype([("row", "<i4"), ("pos", "<i8")])
+# a text has fewer than 2^31 bytes
+_ANCHOR = np.dtype([("h", "<u8"), ("row", "<i4"), ("pos", "<u4")])
+_REPLY = np.dtype([("row", "<i4"), ("pos", "<u4")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8")])
 _MEMBER = np.dtype([("h", "<u8"), ("bucket", "<i4"), ("row", "<i4"), ("doc", "<i8"), ("pos", "<i8"), ("least", "u1"), ("most", "u1"), ("text", "u1", (WIDTH + GRAM,))])
 _SENT = pa.schema([("target", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -244,9 +247,14 @@ def _split(array: np.ndarray, target: np.ndarray):
         yield int(target[lo]), array[lo:hi].tobytes()
 
 
-def _gather(table: pa.Table, dtype: np.dtype, kind: int | None = None) -> np.ndarray:
-    parts = [d for d, k in zip(table["data"].to_pylist(), table["kind"].to_pylist()) if kind is None or k == kind]
-    return np.frombuffer(b"".join(parts), dtype)
+def _packed(member: np.ndarray) -> bytes:
+    """Members with their contexts, ordered by anchor so that equal contexts meet, compressed."""
+    return zstandard.compress(member[np.argsort(member["h"], kind="stable")].tobytes(), 1)
+
+
+def _gather(table: pa.Table, dtype: np.dtype, kind: int = 0) -> np.ndarray:
+    parts = [d for d, k in zip(table["data"].to_pylist(), table["kind"].to_pylist()) if k == kind]
+    return np.frombuffer(b"".join([zstandard.decompress(d) for d in parts] if dtype == _MEMBER else parts), dtype)
 
 
 def _rows(table: pa.Table):
@@ -311,8 +319,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             rows = np.unique(wanted["row"][lo:hi])
             row, pos, start, stop, h = anchors([texts[r] for r in rows])
             row = rows[row].astype(np.int64)
-            asked = {(int(a), int(b)) for a, b in zip(wanted["row"][lo:hi], wanted["pos"][lo:hi])}
-            keep = np.fromiter(((r, p) in asked for r, p in zip(row.tolist(), pos.tolist())), bool, len(row))
+            keep = np.isin((row << 32) | pos, (wanted["row"][lo:hi].astype(np.int64) << 32) | wanted["pos"][lo:hi].astype(np.int64))
             row, pos, start, stop, h = (x[keep] for x in (row, pos, start, stop, h))
             size = np.array([len(texts[r]) for r in rows])
             begin = np.cumsum(size) - size + WIDTH * np.arange(1, len(rows) + 1)
@@ -333,7 +340,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         later = (member["doc"] != member["doc"][first]) | (member["pos"] != member["pos"][first])
         spans.append(_spans(member[later], member["least"][later], member["most"][later]))
         # the anchor's own 50 bytes choose the target again
-        sent = [(t, bucket, 0, d) for t, d in _split(member[~later], (member["h"][~later] % np.uint64(buckets)).astype(np.int64))]
+        member = member[~later]
+        target = (member["h"] % np.uint64(buckets)).astype(np.int64)
+        sent = [(int(t), bucket, 0, _packed(member[target == t])) for t in np.unique(target)]
         return _send(sent + [(bucket, bucket, 1, s.tobytes()) for s in spans if len(s)])
 
     def order(table: pa.Table) -> pa.Table:
