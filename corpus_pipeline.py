@@ -1,11 +1,85 @@
-"""Corpus pipeline (stages are added as the operators land)."""
+"""Corpus pipeline: five stages over documents, each one operator of matchlake.llm.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller may write it and
+read it again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchlake.llm import langid, lines, mixing, queries, sentencepiece, simhash
+from matchlake.llm._common import checkpointed, sized
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose lead of the first language over the next is smaller is rejected.
+LEAST_LANGUAGE_SCORE = 0.02
+#: Shingle words and differing bits of the near-duplicate stage.
+SHINGLE_WORDS, RADIUS = 5, 2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts whose language is told with a lead; texts without a letter go, and null texts."""
+    profiles = langid.fit(docs)
+    found = langid.with_language(docs, profiles)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut lines that have a near copy earlier; a text that loses all its lines goes."""
+    found = lines.dedup_lines(docs)
+    text = F.col("kept")
+    found = found.where((F.size("removed") == 0) | (F.trim(text) != ""))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies; of rows with one id, one.
+
+    Rows without an id cannot be told apart and stay.
+    """
+    groups = checkpointed(simhash.simhash_groups(docs, words=SHINGLE_WORDS, radius=RADIUS))
+    gone = checkpointed(groups.where("doc_id != component_id").select("doc_id").distinct())
+    kept = docs.join(sized(gone, 24), "doc_id", "left_anti").select(*COLUMNS)
+    twice = checkpointed(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    twice = sized(twice, 24)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that domains have their target shares of tokens."""
+    labels = queries.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rated = mixing.mix(docs, labels, queries.MIX)
+    changed = checkpointed(rated.where("copies != 1").select(F.col("doc_id").alias("__id"), "copies"))
+    joined = docs.join(sized(changed, 32), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    copies = F.when(F.col("__id").isNull() & F.col("copies").isNull(), F.lit(1)).otherwise(F.col("copies"))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text that is left, with digests of the ids and of what they decode to."""
+    found = sentencepiece.encode_decode(docs, queries.piece_model_path())
+    return queries.piece_digests(found)
+
+
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixture", mixture),
+    ("encode", encode),
+]
+
+#: Stages that SQL cannot express: profiles, SimHash components, fitted rates and BPE.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
