@@ -181,7 +181,7 @@ def test_line_dedup_joins_near_lines_in_chains(spark):
 
 
 def test_line_dedup_verifies_edit_similarity(spark):
-    # equal word counts, so equal SimHash, in another order: not a near copy
+    # equal words, so equal SimHash, in another order: not a near copy
     a = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(a)), (2, " ".join(reversed(a)))]
     assert [list(r["removed"]) for r in lines.dedup_lines(table(spark, rows)).orderBy("doc_id").collect()] == [[], []]
