@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from matchlake.plans import activity, boxes, foundations, recommendations, relational, texts, vectors  # noqa: F401
+from matchlake.plans.common import ORACLE, QUERIES  # noqa: F401
+
+FLAGSHIP = "resolve_topk"
