@@ -2,9 +2,9 @@
 
 Paragraphs are lines. Equal ones are grouped by a 128-bit hash; the distinct ones get a MinHash
 of their five-word shingles, cut in bands tuned for high recall at the threshold.
-Paragraphs that collide in a band are joined, first with the band's commonest
-paragraph, then those that are still in different groups with each other, and every pair is verified by the
-exact Jaccard similarity of the shingle sets. Removals are clustered by components, and
+Paragraphs that collide in a band are joined with one of its paragraphs; where that leaves
+different groups in a band, its members are compared with each other, in tiles. Every
+link is verified by the exact Jaccard similarity of the shingle sets. Removals are clustered by components, and
 the first occurrence of each stays.
 
 A passage that was pasted into the middle of a paragraph makes no two paragraphs alike.
@@ -28,6 +28,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RECALL, BAND_ROWS = 0.995, 3
 #: A passage's ends are places whose hash is the least within so many bytes; a passage has PASSAGE bytes at least.
 REACH, PASSAGE = 28, 72
+#: Members on a side of a tile of a band.
+TILE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,7 +159,7 @@ def paragraph_rows(source: DataFrame, min_words: int, bands: int) -> DataFrame:
     """Each paragraph of at least ``min_words`` words with its hashes and band keys."""
 
     def run(batches):
-        for batch in pieces(batches, rows=1024, limit=8 << 20):
+        for batch in pieces(batches, rows=1024, limit=2 << 20):
             ids, hashes, starts, stops, words = [], [], [], [], []
             for i, th, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 a, b, w = split_paragraphs(text)
@@ -176,17 +178,15 @@ def paragraph_rows(source: DataFrame, min_words: int, bands: int) -> DataFrame:
     return source.mapInArrow(run, _PARA_SQL)
 
 
-def _verified(pairs: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of paragraph names (doc_id, th, start) whose shingle sets have the Jaccard similarity."""
-    pairs = checkpointed(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().select("name.*").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("start").alias("starts"))
-    wanted = checkpointed(wanted)
+def shingle_sets(names: DataFrame, source: DataFrame) -> DataFrame:
+    """(name, shingles): the sorted distinct shingle hashes of the named paragraphs, from one pass over the texts."""
+    wanted = checkpointed(names.select("name.*").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list("start").alias("starts")))
     size = wanted.agg(F.sum(F.size("starts") + 4)).first()[0] or 0
     held = source.join(sized(wanted, 8, size), (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "starts")
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in pieces(batches, rows=256, limit=8 << 20):
+        for batch in pieces(batches, rows=256, limit=2 << 20):
             out = []
             for i, th, text, starts in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 a, _, words = split_paragraphs(text)
@@ -199,10 +199,70 @@ def _verified(pairs: DataFrame, source: DataFrame, similarity: float) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     sets = held.mapInArrow(run, "doc_id long, th long, start long, shingles array<long>").dropDuplicates(["doc_id", "th", "start"])
-    sets = checkpointed(sets.select(F.struct("doc_id", "th", "start").alias("name"), "shingles"))
-    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b")
+    return sets.select(F.struct("doc_id", "th", "start").alias("name"), "shingles")
+
+
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of sets with the exact Jaccard similarity: common elements are counted by a matrix product."""
+    ls, rs = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    values, back = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = int(ls.sum())
+    common = np.zeros((len(left), len(right)), np.float32)
+    li, ri = np.repeat(np.arange(len(left)), ls), np.repeat(np.arange(len(right)), rs)
+    lb, rb = back[:cut], back[cut:]
+    for at in range(0, len(values), 4096):  # some columns of the incidence matrices at a time
+        lk, rk = (lb >= at) & (lb < at + 4096), (rb >= at) & (rb < at + 4096)
+        if lk.any() and rk.any():
+            x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+            x[li[lk], lb[lk] - at] = 1
+            y[ri[rk], rb[rk] - at] = 1
+            common += x @ y.T
+    return np.nonzero(common >= similarity * (ls[:, None] + rs[None, :] - common) - 1e-6)
+
+
+def _band_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members (band, id, own, shingles) of a band that are near and of different groups.
+
+    A band is compared in tiles of at most TILE members on a side; a tile gives no more links
+    than connect what it connects, and no pair leaves it that is not near.
+    """
+    spark = members.sparkSession
+    sizes = checkpointed(members.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    rows = members.join(sizes, "band").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("x"), F.greatest("tile", o).alias("y")))))
+    buckets = partitions(spark)
+    rows = rows.select("band", "pair.x", "pair.y", F.when(F.col("tile") == F.col("pair.x"), 0).otherwise(1).alias("side"), "id", "own", "shingles")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("band", "x", "y"), F.lit(4 * buckets)).cast("int"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        above: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            above.setdefault(i, i)
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return i
+
+        pdf = pdf.sort_values(["band", "x", "y"], kind="stable")
+        key = pdf[["band", "x", "y"]].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+        ids, own, side, sets = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["side"].to_numpy(), pdf["shingles"].to_numpy()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            left = lo + np.flatnonzero(side[lo:hi] == 0)
+            right = left if key[lo, 1] == key[lo, 2] else lo + np.flatnonzero(side[lo:hi] == 1)
+            if not len(left) or not len(right):
+                continue
+            i, j = near_pairs(list(sets[left]), list(sets[right]), similarity)
+            for x, y in zip(left[i].tolist(), right[j].tolist()):
+                if own[x] != own[y] and (p := root(int(own[x]))) != (q := root(int(own[y]))):
+                    above[max(p, q)] = min(p, q)
+                    out_a.append(ids[x])
+                    out_b.append(ids[y])
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+
+    return rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "a long, b long")
 
 
 def paragraph_groups(source: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -212,23 +272,29 @@ def paragraph_groups(source: DataFrame, min_words: int, similarity: float) -> Da
     name = F.struct("doc_id", "th", "start")
     rows = checkpointed(rows)
     distinct = checkpointed(rows.groupBy("h1", "h2").agg(F.min(F.struct(name.alias("name"), "bands")).alias("x"), F.count("*").alias("copies")).select("h1", "h2", "x.name", "x.bands", "copies"))
-    keyed = distinct.select("name", "copies", F.explode("bands").alias("band"))
-    # the commonest paragraph of each band; bands of one paragraph say nothing
-    pivot = keyed.groupBy("band").agg(F.max(F.struct("copies", "name")).alias("top"), F.count("*").alias("members")).where("members > 1").select("band", F.col("top.name").alias("b"))
-    near = checkpointed(keyed.join(pivot, "band").select("band", F.col("name").alias("a"), "b"))
-    first = checkpointed(_verified(near.where("a != b").select("a", "b"), source, similarity))
+    distinct = distinct.withColumn("id", F.monotonically_increasing_id())  # the same in every reading of the written table
+    keyed = distinct.select("id", F.explode("bands").alias("band"))
+    # one paragraph of each band; bands of one paragraph say nothing
+    pivot = checkpointed(keyed.groupBy("band").agg(F.max("id").alias("b"), F.count("*").alias("members")).where("members > 1").select("band", "b"))
+    near = checkpointed(keyed.withColumnRenamed("id", "a").join(sized(pivot, 40), "band"))
+    met = near.select(F.col("a").alias("id")).distinct()
+    sets = shingle_sets(distinct.select("id", "name").join(met, "id").select("name"), source)
+    sets = checkpointed(sets.join(distinct.select("id", "name"), "name").select("id", "shingles"))
+    pairs = near.where("a != b").select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    first = checkpointed(both.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b"))
     group = connected_components(first)
-    own = near.select("band", F.col("a").alias("name")).join(group.select(F.col("node").alias("name"), "component"), "name", "left")
-    own = checkpointed(own.select("band", "name", F.coalesce("component", "name").alias("own")))
-    # members that the pivots left in different groups: one for each group of a band and name meets the others
+    own = checkpointed(near.select("band", F.col("a").alias("id")).join(group.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("own")))
+    # members that the pivots left in different groups meet each other
     mixed = own.groupBy("band").agg((F.min("own") != F.max("own")).alias("mixed")).where("mixed").select("band")
-    own = own.join(mixed, "band", "left_semi")
-    left, right = own.select("band", F.col("name").alias("a"), F.col("own").alias("x")), own.select("band", F.col("name").alias("b"), F.col("own").alias("y"))
-    rest = left.join(right, "band").where("a < b AND x != y").select("a", "b")
-    links = first.unionByName(_verified(rest, source, similarity))
-    merged = connected_components(links)
-    of = distinct.select("h1", "h2", "name", "copies").join(merged.select(F.col("node").alias("name"), "component"), "name", "left")
-    of = checkpointed(of.where("copies > 1 OR component IS NOT NULL").select("h1", "h2", F.coalesce("component", "name").alias("first")))
+    links = _band_links(own.join(mixed, "band", "left_semi").join(sets, "id"), similarity)
+    merged = connected_components(first.unionByName(links))
+    linked = merged.select(F.col("node").alias("id"), "component").join(distinct.select("id", "name"), "id")
+    firsts = linked.groupBy("component").agg(F.min("name").alias("first"))
+    linked = linked.join(firsts, "component").select("id", "first")
+    of = distinct.join(linked, "id", "left").where("copies > 1 OR first IS NOT NULL")
+    of = checkpointed(of.select("h1", "h2", F.coalesce("first", "name").alias("first")))
     return rows.select("doc_id", "th", "start", "stop", "h1", "h2").join(sized(of, 64), ["h1", "h2"]).select("doc_id", "th", "start", "stop", "first")
 
 
