@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from matchlake.functions import tables as T
 
@@ -152,13 +153,13 @@ def contains_any(x: Column, stems: list[str]) -> Column:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of a to b (not symmetric); nulls count as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 

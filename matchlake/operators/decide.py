@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchlake.functions import tables as T
 
-QUERY = W.partitionBy("query_id")
+
+def by_query() -> WindowSpec:
+    """Rows of one query; made when asked for, since windows need a running session."""
+    return W.partitionBy("query_id")
 
 
 def harmonic(p: Column, r: Column) -> Column:
@@ -19,7 +22,7 @@ def harmonic(p: Column, r: Column) -> Column:
 
 def with_margin(rows: DataFrame, by: str = "score", tie: str = "entity") -> DataFrame:
     """rank and margin to the next candidate; a last one's margin is its own score."""
-    order = QUERY.orderBy(F.desc(by), tie)
+    order = by_query().orderBy(F.desc(by), tie)
     return rows.withColumn("rank", F.row_number().over(order)).withColumn("margin", F.round(F.col(by) - F.coalesce(F.lead(by).over(order), F.lit(0.0)), 4))
 
 
@@ -28,7 +31,7 @@ def pseudo_f1(rows: DataFrame, by: str = "score", tie: str = "entity", scale: fl
 
     Scores are rounded to 4 digits before they are compared.
     """
-    top = rows.withColumn("s", F.round(by, 4)).withColumn("rank", F.row_number().over(QUERY.orderBy(F.desc(by), tie))).where("rank <= 5")
+    top = rows.withColumn("s", F.round(by, 4)).withColumn("rank", F.row_number().over(by_query().orderBy(F.desc(by), tie))).where("rank <= 5")
     one = top.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("s"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("s"))).alias("b"), F.min_by("s", -F.col("rank")).alias("e"))
     margin = F.round(F.col("a") - F.coalesce("b", F.lit(0.0)), 4)
     return one.select("query_id", margin.alias("margin"), harmonic(F.col("a"), margin / scale).alias("f1_top1"), harmonic(F.col("a"), (F.col("a") - F.col("e")) / scale).alias("f1_top5"))
@@ -36,9 +39,9 @@ def pseudo_f1(rows: DataFrame, by: str = "score", tie: str = "entity", scale: fl
 
 def distinct_margin(rows: DataFrame, family: str, by: str = "score", tie: str = "entity") -> DataFrame:
     """(query_id, entity, score, margin): lead of the first candidate over the first not of its family."""
-    order = QUERY.orderBy(F.desc(by), tie)
+    order = by_query().orderBy(F.desc(by), tie)
     lead = rows.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.first(family).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    other = F.max(F.when((F.col("rank") > 1) & ~F.col(family).eqNullSafe(F.col("lead")), F.col(by))).over(QUERY)
+    other = F.max(F.when((F.col("rank") > 1) & ~F.col(family).eqNullSafe(F.col("lead")), F.col(by))).over(by_query())
     return lead.withColumn("margin", F.round(F.col(by) - F.coalesce(other, F.lit(0.0)), 4)).where("rank = 1").select("query_id", "entity", by, "margin")
 
 
@@ -82,8 +85,8 @@ def text_status(score: Column, useful_tokens: Column) -> Column:
 
 def softmax(logit: Column) -> Column:
     """Softmax over the rows of a query."""
-    e = F.exp(logit - F.max(logit).over(QUERY))
-    return e / F.sum(e).over(QUERY)
+    e = F.exp(logit - F.max(logit).over(by_query()))
+    return e / F.sum(e).over(by_query())
 
 
 def promote(rows: DataFrame, qualifies: Column, prefer: Column | None = None) -> DataFrame:
@@ -91,17 +94,17 @@ def promote(rows: DataFrame, qualifies: Column, prefer: Column | None = None) ->
     order = [F.desc(prefer)] if prefer is not None else []
     pick = F.row_number().over(W.partitionBy("query_id", "_q").orderBy(*order, "rank"))
     moved = rows.withColumn("_q", F.coalesce(qualifies, F.lit(False))).withColumn("_m", F.col("_q") & (pick == 1))
-    again = F.row_number().over(QUERY.orderBy(F.desc("_m"), "rank"))
+    again = F.row_number().over(by_query().orderBy(F.desc("_m"), "rank"))
     return moved.withColumn("rank", again).withColumn("promoted", F.col("_m")).drop("_q", "_m")
 
 
 def lock_leader(rows: DataFrame, visual: str, delta: str, lead: float = T.LEADER_LOCK) -> DataFrame:
     """Keep a clear visual leader first unless a close sibling has much more text evidence."""
-    order = QUERY.orderBy(F.desc(visual), "entity")
-    rows = rows.withColumn("_v", F.row_number().over(order)).withColumn("_top", F.max(visual).over(QUERY))
-    second = F.max(F.when(F.col("_v") == 2, F.col(visual))).over(QUERY)
-    own = F.max(F.when(F.col("_v") == 1, F.col(delta))).over(QUERY)
-    rival = F.max(((F.col("_v") > 1) & (F.col(delta) - own >= T.OCR_SIBLING_DELTA) & (F.col("_top") - F.col(visual) <= T.OCR_SIBLING_GAP)).cast("int")).over(QUERY)
+    order = by_query().orderBy(F.desc(visual), "entity")
+    rows = rows.withColumn("_v", F.row_number().over(order)).withColumn("_top", F.max(visual).over(by_query()))
+    second = F.max(F.when(F.col("_v") == 2, F.col(visual))).over(by_query())
+    own = F.max(F.when(F.col("_v") == 1, F.col(delta))).over(by_query())
+    rival = F.max(((F.col("_v") > 1) & (F.col(delta) - own >= T.OCR_SIBLING_DELTA) & (F.col("_top") - F.col(visual) <= T.OCR_SIBLING_GAP)).cast("int")).over(by_query())
     locked = (F.col("_top") - F.coalesce(second, F.lit(0.0)) >= lead) & (rival == 0)
     rows = rows.withColumn("locked", locked)
-    return rows.withColumn("rank", F.row_number().over(QUERY.orderBy(F.desc(F.col("locked") & (F.col("_v") == 1)), F.desc("score"), "entity"))).drop("_v", "_top")
+    return rows.withColumn("rank", F.row_number().over(by_query().orderBy(F.desc(F.col("locked") & (F.col("_v") == 1)), F.desc("score"), "entity"))).drop("_v", "_top")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchlake.functions import tables as T
-from matchlake.operators.decide import QUERY, softmax
+from matchlake.operators.decide import by_query, softmax
 
 
 def candidate_union(visual: DataFrame, texts: list[DataFrame], visual_k: int = T.VISUAL_K, text_n: int = T.TEXT_N) -> DataFrame:
@@ -17,7 +17,7 @@ def candidate_union(visual: DataFrame, texts: list[DataFrame], visual_k: int = T
     """
     channels = []
     for no, (rows, n) in enumerate([(visual, visual_k), *[(t, text_n) for t in texts]]):
-        rank = F.row_number().over(QUERY.orderBy(F.desc("score"), "entity"))
+        rank = F.row_number().over(by_query().orderBy(F.desc("score"), "entity"))
         channels.append(rows.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "entity", (F.lit(no * 1000) + F.col("rank")).alias("priority")))
     both = channels[0]
     for c in channels[1:]:
@@ -32,10 +32,10 @@ def features(rows: DataFrame) -> DataFrame:
     Missing text values count as 0. All equal best texts are leaders.
     """
     zero = rows.na.fill(0.0, [c for c in ("text", "coverage", "contradiction", "photo") if c in rows.columns])
-    best, photo_best = F.max("text").over(QUERY), F.max("photo").over(QUERY)
-    place = F.row_number().over(QUERY.orderBy(F.desc("text"), "entity"))
-    second = F.coalesce(F.max(F.when(F.col("_place") == 2, F.col("text"))).over(QUERY), F.lit(0.0))
-    gap = F.col("visual") - F.max("visual").over(QUERY)
+    best, photo_best = F.max("text").over(by_query()), F.max("photo").over(by_query())
+    place = F.row_number().over(by_query().orderBy(F.desc("text"), "entity"))
+    second = F.coalesce(F.max(F.when(F.col("_place") == 2, F.col("text"))).over(by_query()), F.lit(0.0))
+    gap = F.col("visual") - F.max("visual").over(by_query())
     share = lambda x, b: F.when(b > 0, x / b).otherwise(F.lit(0.0))
     leader = (F.col("text") >= best) & (best > 0)
     return zero.withColumn("_place", place).select(
@@ -55,7 +55,7 @@ def rank(featured: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     logit = sum((F.col("f_coverage" if name == "coverage" else name) * w for name, w in weights.items()), F.lit(0.0))
     rows = featured.withColumn("logit", F.round(logit, 6))
     rows = rows.withColumn("probability", softmax(F.col("logit")))
-    return rows.withColumn("rank", F.row_number().over(QUERY.orderBy(F.desc("logit"), "entity")))
+    return rows.withColumn("rank", F.row_number().over(by_query().orderBy(F.desc("logit"), "entity")))
 
 
 def sibling_override(ranked: DataFrame, contributed: DataFrame, groups: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def sibling_override(ranked: DataFrame, contributed: DataFrame, groups: DataFram
     sums = per.groupBy("query_id", "entity", "rank").agg(F.sum(F.when(F.col("l").isNull(), F.col("o")).otherwise(0.0)).alias("other_only"), F.sum(F.when(F.col("o").isNull(), F.col("l")).otherwise(0.0)).alias("lead_only"))
     won = sums.where((F.col("other_only") >= T.SIBLING_OWN) & (F.col("lead_only") < T.SIBLING_LEAD_SHARE)).groupBy("query_id").agg(F.min_by("entity", "rank").alias("winner"))
     rows = ranked.join(won, "query_id", "left").withColumn("promoted", F.coalesce(F.col("winner") == F.col("entity"), F.lit(False))).drop("winner")
-    return rows.withColumn("rank", F.row_number().over(QUERY.orderBy(F.desc("promoted"), "rank")))
+    return rows.withColumn("rank", F.row_number().over(by_query().orderBy(F.desc("promoted"), "rank")))
 
 
 def distinctive(ranked: DataFrame, markers: DataFrame, seen: DataFrame, gap: float = T.DISTINCTIVE_GAP) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from matchlake.functions import tables as T
 from matchlake.functions import text as X
@@ -128,12 +131,8 @@ def search(queries: DataFrame, catalog: DataFrame, limit: int = 20, floor: float
     return rows.withColumn("rank", n).where(F.col("rank") <= limit).where(F.col("score") >= floor).select("query_id", "entity", "overlap", "ratio", "score", "rank")
 
 
-@F.pandas_udf("double")
-def _ocr_delta(seen, known):
-    import difflib
-
-    import pandas as pd
-
+@F.pandas_udf(DoubleType())
+def _ocr_delta(seen: pd.Series, known: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(seen, known):
         useful, catalog = {str(w) for w in (a if a is not None else ()) if len(w) >= 3}, {str(w) for w in (b if b is not None else ()) if len(w) >= 3}

@@ -20,7 +20,7 @@ SELECT query_id, entity, round(score, 4) AS score, round(p1, 4) AS probability,
 )
 def resolve_topk(spark, sf_dir):
     best = scores(spark, sf_dir)
-    logit = F.round(T.RANKER["visual_gap"] * (F.col("score") - F.max("score").over(decide.QUERY)), 6)
+    logit = F.round(T.RANKER["visual_gap"] * (F.col("score") - F.max("score").over(decide.by_query())), 6)
     rows = vector.ranked(best.withColumn("logit", logit).withColumn("p", decide.softmax(F.col("logit"))))
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     one = rows.where("rank <= 2").groupBy("query_id").agg(at(1, "entity").alias("entity"), at(1, "score").alias("s1"), at(1, "p").alias("p1"), F.coalesce(at(2, "p"), F.lit(0.0)).alias("p2"), F.coalesce(at(2, "score"), F.lit(0.0)).alias("s2"))

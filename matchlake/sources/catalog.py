@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,15 +138,15 @@ def load_weights(path: str, names: list[str]) -> dict[str, float]:
     return dict(zip(names, found["weights"]))
 
 
-def append_lines(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append to JSON lines what they do not hold yet; returns what was new."""
+def append_lines(rows: DataFrame, path: str, keys: list[str]) -> int:
+    """Append to JSON lines what they do not hold yet; returns how many rows that was."""
     spark = rows.sparkSession
     try:
         have = spark.read.json(path).select(*keys)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         have = rows.select(*keys).limit(0)
-    new = rows.join(have, keys, "left_anti").persist()
-    new.write.mode("append").json(path)
-    return new
+    seen = Observation()
+    rows.join(have, keys, "left_anti").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
