@@ -80,7 +80,7 @@ def test_script_payload(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(i, f"u{i % 3}", i, "matched" if i % 2 else "unknown") for i in range(30)], "id long, slug string, s long, status string").withColumn("ts", F.timestamp_seconds(F.col("s") * 1000))
+    rows = spark.createDataFrame([(i, f"u{i % 3}", i, "matched" if i % 2 else "unknown") for i in range(30)], "id long, slug string, s long, status string").withColumn("ts", F.timestamp_seconds(F.col("s") * 1000 + 1_000_000_000))
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     own = stream.matched_only(stream.event_stream(spark, str(tmp_path / "in"), rows.schema))
     found = stream.drain(stream.recent(own, "slug"), "recent_test", str(tmp_path / "ck"))
