@@ -20,10 +20,10 @@ def corpus(spark, tmp_path_factory):
     docs = [(i, t if g == "en" else t.replace("t", "é"), g) for i, t, g in docs]
     docs += [(80, docs[0][1], "en"), (81, docs[3][1] + "\n" + docs[5][1].split("\n")[0], "en"), (82, "12345 !!!", "en"), (83, None, "en"), (84, "", "fr")]
     bad = [(90 + i, text(30) + " idiot moron idiot", "en") for i in range(20)]
-    docs += bad
+    docs += bad + [(120 + i, text(20).replace(" ", "*** "), "en") for i in range(12)]
     folder = tmp_path_factory.mktemp("sf")
     spark.createDataFrame([(i, t, g, "src", len(t or "")) for i, t, g in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    labels = [(i, 1, 0) for i in range(40)] + [(90 + i, 1, 1) for i in range(12)] + [(40 + i, 0, 0) for i in range(10)]
+    labels = [(i, 1, 0) for i in range(40)] + [(90 + i, 1, 1) for i in range(12)] + [(120 + i, 0, 0) for i in range(10)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder), docs
 
@@ -42,7 +42,7 @@ def test_stages(spark, corpus, tmp_path):
     assert 80 not in seen["line_dedup"] and set(range(80)) <= set(seen["line_dedup"])
     assert len(seen["near_dedup"]) == len(set(seen["near_dedup"]))
     clean = [i for i in range(40) if i in seen["near_dedup"]]
-    assert set(clean) <= set(seen["mixture"]) and sum(i >= 90 for i in seen["mixture"]) < 12
+    assert set(clean) <= set(seen["mixture"]) and sum(90 <= i < 120 for i in seen["mixture"]) < 12
     assert sorted(seen["encode"]) == sorted(seen["mixture"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "mixture", "encode"]
 

@@ -139,7 +139,7 @@ def test_out_of_place_distance():
 
 
 def words_of(line):
-    return [w for w in __import__("re").split("[ \t\r]+", line.lower()) if w]
+    return __import__("re").sub("[\t\r]", " ", line.lower()).split(" ")
 
 
 def test_line_dedup_keeps_the_first_of_equal_lines(spark):
@@ -187,6 +187,22 @@ def test_line_dedup_verifies_edit_similarity(spark):
     assert [list(r["removed"]) for r in lines.dedup_lines(table(spark, rows)).orderBy("doc_id").collect()] == [[], []]
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 8])
+def test_near_simhashes_share_a_key(spark, blocks):
+    rng = random.Random(blocks)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 3):
+            b ^= 1 << bit
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    rows = spark.createDataFrame(pairs, "a long, b long")
+    left = rows.withColumn("sim", F.col("a")).withColumn("x", lines._keys(blocks)).withColumn("sim", F.col("b")).withColumn("y", lines._keys(blocks))
+    assert left.where(~F.arrays_overlap("x", "y")).count() == 0
+    assert lines.blocks_for(1000) == 5 and lines.blocks_for(1 << 40) == 8
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
