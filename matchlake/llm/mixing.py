@@ -22,6 +22,8 @@ from matchlake.llm._common import checkpointed
 FIT_DOCS = 20_000
 #: Words the classifier knows: those that tell domains apart best.
 VOCABULARY = 4096
+#: A word is used only if its counts differ between domains by more than chance would (chi-square).
+SIGNIFICANT = 20.0
 #: A word's log ratios count this much: words of a text are not independent.
 TEMPER = 0.5
 MAX_STEPS = 40
@@ -62,7 +64,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     together = sum((F.col(f"c_{i}") for i in range(1, len(domains))), F.col("c_0"))
     expected = [together * F.lit(size[i] / sum(size)) for i in range(len(domains))]
     telling = sum(((F.col(f"c_{i}") - e) * (F.col(f"c_{i}") - e) / e for i, e in enumerate(expected)), F.lit(0.0))
-    words = counts.select("word", *ratios, telling.alias("telling")).orderBy(F.desc("telling"), "word").limit(vocabulary).drop("telling")
+    words = counts.select("word", *ratios, telling.alias("telling")).where(F.col("telling") >= SIGNIFICANT).orderBy(F.desc("telling"), "word").limit(vocabulary).drop("telling")
     total = sum(per.values())
     return domains, [math.log(per[d] / total) for d in domains], checkpointed(words)
 
