@@ -30,7 +30,7 @@ GRAPE_LINE_SCORE, GRAPE_LINE_LEAD = 0.40, 0.04
 OCR_WEIGHT, LEADER_LOCK, OCR_SIBLING_DELTA, OCR_SIBLING_GAP, FUZZY_RATIO = 0.12, 0.02, 0.06, 0.05, 0.88
 PSEUDO_F1_SCALE = 0.15
 RETENTION_DAYS = 30
-FIELD_WEIGHTS = {"name": 2.0, "grapes": 1.5, "winery": 0.8, "region": 0.8, "category": 0.5}
+FIELD_WEIGHTS = {"name": 2.0, "winery": 1.5, "grapes": 0.8, "slug": 0.8, "style": 0.5}
 EXACT, FUZZY, GLUED = 1.0, 0.6, 0.8
 
 # Cyrillic to Latin.
@@ -80,6 +80,10 @@ STYLE_WORDS = (
     "сухое полусухое полусладкое сладкое брют экстра красное белое розовое оранжевое suhoe polusuhoe polusladkoe sladkoe bryut ekstra krasnoe beloe rozovoe oranzhevoe "
     "dry brut extra red white"
 ).split()
+# Words of a label's text that are no evidence.
+LABEL_STOP = "вино вина сухое полусухое полусладкое сладкое красное белое розовое оранжевое the and wine estate chateau reserve резерв усадьба".split()
+# Recognition modes.
+MODES = ["combined", "image_full", "image_auto", "image_auto_enhanced", "ocr_full", "ocr_auto", "ocr_auto_enhanced"]
 SWEETNESS_MARKERS = ["сухое", "полусухое", "полусладкое", "сладкое", "брют"]
 
 # Occasions with their label, dish stems, colours and reason.
