@@ -15,7 +15,7 @@ from matchlake.operators import decide
 
 
 def _mean(points: Column, axis: int) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(points)
+    return F.aggregate(points, F.lit(0.0), lambda s, p: s + p[axis]) / F.greatest(F.size(points), F.lit(1))
 
 
 def words_of_lines(lines: DataFrame) -> DataFrame:
