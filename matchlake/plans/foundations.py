@@ -78,10 +78,11 @@ def incremental_anti_join(spark, sf_dir):
     return feed.missing(wanted, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("get_or_create_profiles", "SELECT DISTINCT sha256(CAST(user_id AS VARCHAR)) AS profile_id, CASE WHEN user_id < 100 THEN '{\"seen\":1}' ELSE '{}' END AS state FROM events UNION SELECT sha256(CAST(c_custkey AS VARCHAR)), '{\"seen\":1}' FROM customer WHERE c_custkey < 100")
+@query("get_or_create_profiles", """WITH have AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') SELECT sha256(CAST(c_custkey AS VARCHAR)) AS profile_id, '{"seen":1}' AS state FROM have
+UNION ALL SELECT DISTINCT sha256(CAST(user_id AS VARCHAR)), '{}' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM have)""")
 def get_or_create_profiles(spark, sf_dir):
-    """Customers under key 100 have a profile already; every user of an event gets one."""
-    have = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("profile_id"), F.lit('{"seen":1}').alias("state"))
+    """Customers of one segment have a profile already; every user of an event gets one."""
+    have = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("profile_id"), F.lit('{"seen":1}').alias("state"))
     return feed.get_or_create(have, table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("token")))
 
 
