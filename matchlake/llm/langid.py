@@ -6,8 +6,9 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from matchlake.llm._common import as_batch, checkpointed, pieces
 
@@ -140,16 +141,16 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
 
 
 def with_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
-    """``docs`` with the two columns added, in one pass and without a join."""
-    from pyspark.sql.functions import pandas_udf  # noqa: PLC0415
-
+    """``docs`` with the two columns added (or replaced), in one pass and without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    docs = docs.drop(pred_col, score_col)
+    place = docs.columns.index(text_col)
 
-    @pandas_udf("lang string, score double")
-    def both(text):
-        import pandas as pd  # noqa: PLC0415
-
-        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang", "score"])
+    def run(batches):
+        own = shared.value
+        for batch in pieces(batches):
+            found = [own.predict(t) for t in batch.column(place).to_pylist()]
+            more = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, pred_col, score_col])
 
-    found: Column = both(F.col(text_col).cast("string"))
-    return docs.withColumn("__found", found).withColumn(pred_col, F.col("__found.lang")).withColumn(score_col, F.col("__found.score")).drop("__found")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))

@@ -24,7 +24,7 @@ from matchlake.llm._common import pieces
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries that each of a worker's memo tables may hold; a full table is set aside for the next one's misses.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _fields(data: bytes):
@@ -115,7 +115,7 @@ class PieceModel:
         key = (left + 1) * len(self.texts) + right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MEMO * 4:
+            if len(self.pairs) >= MEMO * 3:
                 self.pairs.clear()
             own = ([] if left < 0 else [self.texts[left]]) + [self.texts[right]]
             known = self.pairs[key] = self.merge("".join(own)) == own
