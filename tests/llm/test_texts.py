@@ -180,6 +180,13 @@ def test_line_dedup_joins_near_lines_in_chains(spark):
     assert groups.count() == len({t for _, t in variants + other})
 
 
+def test_a_line_of_too_many_words_is_compared_by_equality(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MAX_WORDS", 30)
+    a = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(a)), (2, " ".join(a)), (3, " ".join([*a[:-1], "x"])), (4, " ".join(a[:20])), (5, " ".join(a[:20]))]
+    assert [len(r["removed"]) for r in lines.dedup_lines(table(spark, rows)).orderBy("doc_id").collect()] == [0, 1, 0, 0, 1]
+
+
 def test_line_dedup_verifies_edit_similarity(spark):
     # equal words, so equal SimHash, in another order: not a near copy
     a = [f"w{i}" for i in range(60)]
