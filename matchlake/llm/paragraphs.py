@@ -203,20 +203,32 @@ def shingle_sets(names: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def near_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of sets with the exact Jaccard similarity: common elements are counted by a matrix product."""
+    """Places (i, j) of sets with the exact Jaccard similarity: common elements are counted by a matrix product.
+
+    ``right`` may be ``left`` itself. Elements that only one set has are left out of the
+    product; they count in the sizes.
+    """
+    same = right is left
     ls, rs = (np.array([len(x) for x in side], np.int64) for side in (left, right))
-    values, back = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    values, back = np.unique(np.concatenate(left if same else [*left, *right]), return_inverse=True)
     cut = int(ls.sum())
-    common = np.zeros((len(left), len(right)), np.float32)
+    lb, rb = back[:cut], back if same else back[cut:]
     li, ri = np.repeat(np.arange(len(left)), ls), np.repeat(np.arange(len(right)), rs)
-    lb, rb = back[:cut], back[cut:]
-    for at in range(0, len(values), 4096):  # some columns of the incidence matrices at a time
-        lk, rk = (lb >= at) & (lb < at + 4096), (rb >= at) & (rb < at + 4096)
-        if lk.any() and rk.any():
-            x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
-            x[li[lk], lb[lk] - at] = 1
+    often = np.bincount(lb, minlength=len(values))
+    shared = often > 1 if same else (often > 0) & (np.bincount(rb, minlength=len(values)) > 0)
+    column = np.cumsum(shared) - 1
+    li, lb, ri, rb = li[shared[lb]], column[lb[shared[lb]]], ri[shared[rb]], column[rb[shared[rb]]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):  # some columns of the incidence matrices at a time
+        wide = min(4096, int(shared.sum()) - at)
+        lk, rk = (lb >= at) & (lb < at + wide), (rb >= at) & (rb < at + wide)
+        x = np.zeros((len(left), wide), np.float32)
+        x[li[lk], lb[lk] - at] = 1
+        y = x
+        if not same:
+            y = np.zeros((len(right), wide), np.float32)
             y[ri[rk], rb[rk] - at] = 1
-            common += x @ y.T
+        common += x @ y.T
     return np.nonzero(common >= similarity * (ls[:, None] + rs[None, :] - common) - 1e-6)
 
 
@@ -254,7 +266,8 @@ def _band_links(members: DataFrame, similarity: float) -> DataFrame:
             right = left if key[lo, 1] == key[lo, 2] else lo + np.flatnonzero(side[lo:hi] == 1)
             if not len(left) or not len(right):
                 continue
-            i, j = near_pairs(list(sets[left]), list(sets[right]), similarity)
+            mine = list(sets[left])
+            i, j = near_pairs(mine, mine if right is left else list(sets[right]), similarity)
             for x, y in zip(left[i].tolist(), right[j].tolist()):
                 if own[x] != own[y] and (p := root(int(own[x]))) != (q := root(int(own[y]))):
                     above[max(p, q)] = min(p, q)
