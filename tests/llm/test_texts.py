@@ -257,6 +257,19 @@ def test_paragraph_pairs_are_those_of_exact_jaccard(spark):
     assert {i: c for i, c in found.items() if c != i or groups[c] > 1} == {i: root(i) for i in above if groups[root(i)] > 1}
 
 
+def test_near_pairs_are_those_of_exact_jaccard():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 40)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(20, 40)), rng.integers(0, 1 << 60, rng.integers(0, 6))]) for _ in range(60)]
+    near = lambda a, b: len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b))
+    i, j = paragraphs.near_pairs(sets[:25], sets[25:], 0.6)
+    assert set(zip(i, j)) == {(x, y) for x in range(25) for y in range(35) if near(sets[x], sets[25 + y])}
+    i, j = paragraphs.near_pairs(sets, sets, 0.6)
+    assert {(x, y) for x, y in zip(i, j) if x != y} == {(x, y) for x in range(60) for y in range(60) if x != y and near(sets[x], sets[y])}
+
+
 def test_bands_reach_the_recall():
     n = paragraphs.bands_for(0.8, 3, 0.995)
     assert 1 - (1 - 0.8**3) ** n >= 0.995 > 1 - (1 - 0.8**3) ** (n - 1)
