@@ -125,7 +125,8 @@ def test_large_lists_are_dealt_in_chunks(spark, monkeypatch):
     assert len(found) == 15 * 20 and not found.duplicated(["query_id", "vec_id"]).any()
 
 
-def test_components_of_random_graphs_and_chains(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_components_of_random_graphs_and_chains(spark, native):
     rng = random.Random(0)
     for edges in ([(i, i + 1) for i in range(200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(0, i) for i in range(1, 100)], [(5, 5), (None, 3)], []):
         frame = spark.createDataFrame(edges, "a long, b long")
@@ -140,5 +141,5 @@ def test_components_of_random_graphs_and_chains(spark):
             if a is not None and b is not None and a != b:
                 x, y = sorted((root(a), root(b)))
                 above[y] = x
-        found = {r["node"]: r["component"] for r in connected_components(frame).collect()}
+        found = {r["node"]: r["component"] for r in connected_components(frame, native=native).collect()}
         assert found == {i: root(i) for i in above}
