@@ -210,6 +210,49 @@ def test_near_simhashes_share_a_key(spark, blocks):
     assert lines.blocks_for(1000) == 5 and lines.blocks_for(1 << 40) == 8
 
 
+def words_apart(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_line_links_are_those_of_all_pairs(spark, monkeypatch):
+    # short lines with replaced, dropped and added words: SimHashes within 3 bits find few of them
+    monkeypatch.setattr(lines, "SAMPLE", 1)
+    rng = random.Random(12)
+    rows = []
+    for n in [5, 6, 7, 8, 9, 10, 12, 15, 20, 25, 30, 30]:
+        base = [rng.choice(WORDS) + rng.choice(["", "er", "ing", "ed"]) for _ in range(n)]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randint(1, n // 5)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1, 1])] = rng.choice([["new"], ["odd"], ["x", "y"][:1], []])
+            rows.append(" ".join(own + ["end"] * max(0, 5 - len(own))))
+    rows = sorted(set(rows))
+    above = list(range(len(rows)))
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    linked = 0
+    for i, x in enumerate(rows):
+        for j in range(i):
+            a, b = x.split(), rows[j].split()
+            if words_apart(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+                linked += 1
+                u, v = root(i), root(j)
+                above[max(u, v)] = min(u, v)
+    found = lines.dedup_lines(table(spark, list(enumerate(rows)))).collect()
+    assert linked > 50
+    assert {r["doc_id"] for r in found if r["removed"]} == {i for i in range(len(rows)) if root(i) != i}
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
