@@ -58,6 +58,22 @@ def test_near_dedup_of_repeated_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [0, 1, 3]
 
 
+def test_near_dedup_is_that_of_exact_jaccard(spark):
+    # one word of 100 replaced: five-word Jaccard 0.90, rarely within 2 SimHash bits; 12 words apart: under 0.8
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(100)]
+        near, far = list(base), list(base)
+        near[10 + i] = "changed"
+        for at in range(5, 100, 12):
+            far[at] = "other"
+        rows += [(i, " ".join(base)), (100 + i, " ".join(near[:50]) + "\n" + " ".join(near[50:])), (200 + i, " ".join(far))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    assert kept == {*range(20), *range(200, 220)}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
