@@ -54,9 +54,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that domains have their target shares of tokens."""
+    """Repeat or leave out documents so that domains have their target shares of tokens; a clean document is never left out."""
     labels = queries.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = mixing.mix(docs, labels, queries.MIX)
+    rated = mixing.mix(docs, labels, queries.MIX, keep="good")
     changed = checkpointed(rated.where("copies != 1").select(F.col("doc_id").alias("__id"), "copies"))
     joined = docs.join(sized(changed, 32), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     copies = F.when(F.col("__id").isNull() & F.col("copies").isNull(), F.lit(1)).otherwise(F.col("copies"))

@@ -125,20 +125,34 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> tuple[DataFrame, dict]:
         steps.append(inverse @ residual)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_docs: int = FIT_DOCS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_docs: int = FIT_DOCS, keep: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>.., rate, copies): one row an id.
 
     rate is the expected number of copies; copies rounds it up or down by a hash of the id,
     so that its mean is the rate. Targets are scaled to sum to 1 over the labelled domains;
     domains without a target get none of the tokens. Nothing labelled, or no target: every rate
     is 1. Null ids are one document; other columns are ignored.
+
+    keep: a domain whose target is at least its measured expected share of the tokens (the others
+    share what is left), and whose documents stay: a fitted rate under 1 is raised to 1 wherever no
+    other domain is likelier than its prior, which holds for a text without a telling word. The
+    totals are then above the targets by what the raised documents add.
     """
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col, fit_docs)
     domains = model[0]
     soft = checkpointed(posteriors(docs, model, id_col, text_col))
     wanted = [max(0.0, targets.get(d, 0.0)) for d in domains]
     if sum(wanted) > 0:
-        rated, _ = fit_rates(soft, [w / sum(wanted) for w in wanted])
+        wanted, clean = [w / sum(wanted) for w in wanted], F.lit(keep in domains)
+        if keep in domains:
+            at = domains.index(keep)
+            row = soft.agg(F.sum(F.col("n_tokens") * F.col(f"p_{at}")), F.sum("n_tokens")).first()
+            good = max(wanted[at], row[0] / row[1] if row[1] else 0.0)
+            wanted = [good if i == at else w * (1 - good) / max(1 - wanted[at], 1e-12) for i, w in enumerate(wanted)]
+            for i in range(len(domains)):
+                clean = clean if i == at else clean & (F.col(f"p_{i}") <= math.exp(model[1][i]) + 1e-9)
+        rated, _ = fit_rates(soft, wanted)
+        rated = rated.withColumn("rate", F.when(clean, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")))
     else:
         rated = soft.withColumn("rate", F.lit(1.0))
     u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))

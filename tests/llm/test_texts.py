@@ -497,6 +497,16 @@ def test_rates_reach_the_targets(spark):
     assert all(abs(r["copies"] - r["rate"]) < 1 for r in found)
 
 
+def test_clean_documents_are_kept_at_any_mix(spark):
+    # 99 % of the tokens are good, more than the target; short texts without a telling word have the prior
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(50))) for i in range(300)] + [(300 + i, " ".join(rng.choice(WORDS) + "q" for _ in range(50))) for i in range(3)]
+    rows += [(400 + i, "neutral") for i in range(40)]
+    labels = [(i, "good") for i in range(60)] + [(300 + i, "low") for i in range(3)]
+    found = mixing.mix(table(spark, rows), table(spark, labels, "doc_id long, domain string"), queries.MIX, keep="good").collect()
+    assert len(found) == 343 and all(r["rate"] >= 1 and r["copies"] >= 1 for r in found if not 300 <= r["doc_id"] < 400)
+
+
 def test_rates_at_the_bound(spark):
     soft = spark.createDataFrame([(i, 10, float(i % 2), 1.0 - i % 2) for i in range(20)], "doc_id long, n_tokens long, p_0 double, p_1 double")
     rated, report = mixing.fit_rates(soft, [1.0, 0.0])
