@@ -33,6 +33,16 @@ def sized(small: DataFrame, row_bytes: int, rows: int | None = None) -> DataFram
     return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
 
 
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each led by as many underscores as make it no column of ``df`` (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession, rows: int = 0, per_task: int = 500_000) -> int:
     """Shuffle partitions for ``rows`` rows: the session's number, more if a task would get too many."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
@@ -84,7 +94,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     them, and always if ``native``, by rounds of
     alternating large-star and small-star contraction. There, minima are aggregated before
     the shuffle, so a hub costs one row a task; the join that hands a hub its minimum is an
-    ordinary equi-join that adaptive execution may split. Nodes may be of any orderable
+    ordinary equi-join that adaptive execution may split. A round over at most ONE_TASK edges
+    takes one partition and no exchange. Nodes may be of any orderable
     type. Self-loops, repeated edges and nulls are allowed: the first two say nothing
     new and rows with a null end are ignored. No edges: no rows.
     """
@@ -98,6 +109,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not sign[0]:
             break
+        e = e.coalesce(1) if sign[0] <= ONE_TASK else e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
