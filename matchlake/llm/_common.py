@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many bytes, taken as counted rows times a stated row width.
 BROADCAST_BYTES = 32 << 20
-#: Edges (16 bytes each) that one task may join.
-ONE_TASK = 500_000
+#: Edges (16 bytes each) that one task may join in Python, and by DataFrame functions.
+ONE_TASK, ONE_NATIVE_TASK = 500_000, 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -111,7 +111,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     them, and always if ``native``, by rounds of
     alternating large-star and small-star contraction. There, minima are aggregated before
     the shuffle, so a hub costs one row a task; the join that hands a hub its minimum is an
-    ordinary equi-join that adaptive execution may split. A round over at most ONE_TASK edges
+    ordinary equi-join that adaptive execution may split. A round over at most ONE_NATIVE_TASK edges
     takes one partition and no exchange. Nodes may be of any orderable
     type. Self-loops, repeated edges and nulls are allowed: the first two say nothing
     new and rows with a null end are ignored. No edges: no rows.
@@ -126,7 +126,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not sign[0]:
             break
-        e = e.coalesce(1) if sign[0] <= ONE_TASK else e
+        e = e.coalesce(1) if sign[0] <= ONE_NATIVE_TASK else e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))

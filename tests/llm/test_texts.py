@@ -182,6 +182,9 @@ def test_line_dedup_of_very_many_lines(spark):
     text = "\n".join(["the same line all over again"] * 100_000)
     found = sorted((r["doc_id"], len(r["removed"]), r["kept"]) for r in lines.dedup_lines(table(spark, [(1, text), (2, text + "\nend")])).collect())
     assert found == [(1, 99_999, "the same line all over again"), (2, 100_000, "end")]
+    text = "\n".join(["the same line all over again"] + [f"line no {i}" for i in range(50_000)])
+    found = sorted((r["doc_id"], len(r["removed"]), len(r["kept"])) for r in lines.dedup_lines(table(spark, [(1, text), (2, text)])).collect())
+    assert found == [(1, 0, len(text)), (2, 1, len(text) - 29)]
 
 
 def test_line_dedup_joins_near_lines_in_chains(spark):
