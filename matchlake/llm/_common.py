@@ -127,13 +127,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not sign[0]:
             break
         e = e.coalesce(1) if sign[0] <= ONE_NATIVE_TASK else e
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # no unions: they would not stay in one partition
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        e = checkpointed(small.where("u != v").distinct())
         last, sign = sign, _signature(e)
         if sign == last:
             break
