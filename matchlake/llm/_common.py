@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many bytes, taken as counted rows times a stated row width.
@@ -126,14 +127,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not sign[0]:
             break
-        e = e.coalesce(1) if sign[0] <= ONE_NATIVE_TASK else e
-        # no unions: they would not stay in one partition
+        alone = sign[0] <= ONE_NATIVE_TASK
+        e = e.coalesce(1) if alone else e
         both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        small = small.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        large = _with_least(both, alone).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v") if _plain(e) else F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("v")).distinct()
+        small = _with_least(large, alone).select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
         e = checkpointed(small.where("u != v").distinct())
         last, sign = sign, _signature(e)
         if sign == last:
@@ -143,6 +141,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _plain(e: DataFrame) -> bool:
+    return e.schema["u"].dataType.typeName() != "struct"
+
+
+def _with_least(e: DataFrame, alone: bool) -> DataFrame:
+    """(u, v, m): edges with the least v of their u; in one partition by a window, else by a join that may be split."""
+    if alone:
+        return e.withColumn("m", F.min("v").over(W.partitionBy("u")))
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def _signature(e: DataFrame) -> tuple:
     row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
