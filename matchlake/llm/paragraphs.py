@@ -24,10 +24,16 @@ from matchlake.llm._common import checkpointed, connected_components, partitions
 from matchlake.llm.suffixes import _hashes, _powers
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Words of the shortest paragraph that is compared: headings and list items stay.
+MIN_WORDS = 8
 #: The least recall that the bands are tuned for at the threshold, and the rows of a band.
 RECALL, BAND_ROWS = 0.995, 3
 #: A passage's ends are places whose hash is the least within so many bytes; a passage has PASSAGE bytes at least.
 REACH, PASSAGE = 28, 72
+#: Bytes of text whose shingles are made at a time: numpy holds about 60 bytes for each.
+PIECE = 512 << 10
+#: Bytes of text for each passage, about.
+PASSAGE_STEP = 100
 #: Members on a side of a tile of a band.
 TILE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +165,7 @@ def paragraph_rows(source: DataFrame, min_words: int, bands: int) -> DataFrame:
     """Each paragraph of at least ``min_words`` words with its hashes and band keys."""
 
     def run(batches):
-        for batch in pieces(batches, rows=1024, limit=2 << 20):
+        for batch in pieces(batches, rows=256, limit=PIECE):
             ids, hashes, starts, stops, words = [], [], [], [], []
             for i, th, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 a, b, w = split_paragraphs(text)
@@ -186,7 +192,7 @@ def shingle_sets(names: DataFrame, source: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in pieces(batches, rows=256, limit=2 << 20):
+        for batch in pieces(batches, rows=256, limit=PIECE):
             out = []
             for i, th, text, starts in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 a, _, words = split_paragraphs(text)
@@ -319,11 +325,12 @@ def passage_groups(source: DataFrame) -> DataFrame:
 
     What is sent to the task that compares are packed records, one binary value for each batch and target.
     """
-    buckets = partitions(source.sparkSession)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = partitions(source.sparkSession, size // PASSAGE_STEP)
     sent = pa.schema([("target", pa.int32()), ("data", pa.binary())])
 
     def find(batches):
-        for batch in pieces(batches, rows=2048, limit=16 << 20):
+        for batch in pieces(batches, rows=2048, limit=4 << 20):
             parts = []
             for i, th, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 start, stop, h1, h2 = passages(text.encode("utf-8", "replace").lower())
@@ -368,20 +375,22 @@ def merged_spans(starts, stops) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, shared, removed, n_removed, component_id): one row for each text that shares a paragraph or passage.
+def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, shared, removed, n_removed, component_id): one row for each document.
 
     shared and removed are arrays of (start, stop) byte offsets in the UTF-8 text: what
     also occurs elsewhere, and what of it is not the first occurrence of its component (by
-    doc_id, then place). component_id is the smallest doc_id among those first
-    occurrences. Texts that share nothing have no row, nor have null ids and texts.
-    Paragraphs of fewer than ``min_words`` words are not compared. Rows equal in id and text
-    give one row; other columns are ignored.
+    doc_id, then place). component_id is the smallest doc_id reachable over shared paragraphs and
+    passages; of a document that shares nothing, its own. Rows without an id or a text
+    share nothing (component_id: the id). Paragraphs of fewer than ``min_words`` words and passages of fewer than
+    PASSAGE bytes are not compared. Rows equal in id and text give one row; other columns are
+    ignored.
     """
     source = _source(docs, id_col, text_col)
-    found = paragraph_groups(source, min_words, similarity).unionByName(passage_groups(source)).distinct()
+    found = checkpointed(paragraph_groups(source, min_words, similarity).unionByName(passage_groups(source)).distinct())
     own = F.struct("doc_id", "th", "start")
-    found = found.withColumn("gone", F.col("first") != own).select("doc_id", "th", F.struct("start", "stop", "gone", F.col("first.doc_id").alias("of")).alias("span"))
+    classes = connected_components(found.select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")))
+    found = found.select("doc_id", "th", F.struct("start", "stop", (F.col("first") != own).alias("gone")).alias("span"))
     each = found.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
     spans = "array<struct<start:long,stop:long>>"
 
@@ -393,6 +402,11 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out.append(pairs)
         return pd.DataFrame(out, columns=["shared", "removed"])
 
-    each = each.withColumn("m", merge("spans"))
-    n = F.aggregate("m.removed", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
-    return each.select("doc_id", F.col("m.shared").alias("shared"), F.col("m.removed").alias("removed"), n.alias("n_removed"), F.array_min(F.transform("spans", lambda s: s["of"])).alias("component_id"))
+    each = each.withColumn("m", merge("spans")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "m.shared", "m.removed")
+    classes = classes.select(F.col("node").alias("c"), "component")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")).distinct()
+    every = every.join(each, (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t")), "left").join(classes, F.col("doc_id") == F.col("c"), "left")
+    none = F.array().cast(spans)
+    every = every.select("doc_id", F.coalesce("shared", none).alias("shared"), F.coalesce("removed", none).alias("removed"), F.coalesce("component", "doc_id").alias("component_id"))
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return every.select("doc_id", "shared", "removed", n.alias("n_removed"), "component_id")

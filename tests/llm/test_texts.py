@@ -283,14 +283,44 @@ def test_paragraphs_and_passages(spark):
     near = para.split()
     near[7] = "changed"
     rows = [(1, prose(rng, 30) + "\n" + para), (2, " ".join(near) + "\n" + prose(rng, 40)), (3, prose(rng, 25) + " " + passage + " " + prose(rng, 25)), (4, prose(rng, 10) + "\n" + prose(rng, 33) + " " + passage), (5, prose(rng, 200)), *ODD]
-    found = {r["doc_id"]: r for r in paragraphs.dedup_paragraphs(table(spark, rows).withColumn("start", F.lit(0))).collect()}
-    assert set(found) >= {1, 2, 3, 4} and 5 not in found and 700 not in found
+    docs = table(spark, rows)
+    for name in ("start", "th", "bucket", "target", "component_id", "shared"):
+        docs = docs.withColumn(name, F.lit(0))
+    found = {r["doc_id"]: r for r in paragraphs.dedup_paragraphs(docs).collect()}
+    assert set(found) == {i for i, _ in rows}
+    for i in (5, 700, 701, 702, 703, 704, None):
+        assert not found[i]["shared"] and not found[i]["n_removed"] and found[i]["component_id"] == i
+    assert found[3]["component_id"] == found[4]["component_id"] == 3
     assert not found[1]["removed"] and found[2]["component_id"] == 1 and found[2]["n_removed"] >= len(" ".join(near))
     start = rows[3][1].encode().index(passage.encode())
     span = found[4]["removed"][0]
     assert start <= span["start"] < span["stop"] <= start + len(passage.encode()) and not found[3]["removed"]
 
 
+def test_passages_are_those_of_equal_bytes_and_classes_are_closed(spark):
+    rng = random.Random(31)
+    shared = [prose(rng, 60) for _ in range(5)]
+    rows = [(i, " ".join([prose(rng, 20), *[x + " " + prose(rng, 15) for x in rng.sample(shared, rng.randint(0, 2))]])) for i in range(40)]
+    own = {}
+    for i, t in rows:
+        for a, b, _, _ in zip(*paragraphs.passages(t.encode().lower())):
+            own.setdefault(t.encode().lower()[a:b], []).append((i, a, b))
+    twice = [sorted(x) for x in own.values() if len(x) > 1]
+    source = paragraphs._source(table(spark, rows), "doc_id", "text")
+    found = {(r["doc_id"], r["start"], r["stop"], r["first"]["doc_id"], r["first"]["start"]) for r in paragraphs.passage_groups(source).collect()}
+    assert twice and found == {(i, a, b, x[0][0], x[0][1]) for x in twice for i, a, b in x}
+    above = {i: i for i, _ in rows}
+
+    def root(i):
+        return i if above[i] == i else root(above[i])
+
+    for x in twice:
+        for i, _, _ in x:
+            a, b = sorted((root(i), root(x[0][0])))
+            above[b] = a
+    assert {r["doc_id"]: r["component_id"] for r in paragraphs.dedup_paragraphs(table(spark, rows)).collect()} == {i: root(i) for i in above}
+
+
 def test_paragraph_pairs_are_those_of_exact_jaccard(spark):
     rng = random.Random(4)
     rows = []
