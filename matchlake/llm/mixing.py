@@ -1,10 +1,10 @@
 """Soft-membership mixing with DataFrame functions only.
 
 A classifier learnt from a labelled table gives each document a posterior over domains.
-Document rates then come from projected-gradient least squares: nonnegative rates, as near
-to 1 as the gradient path keeps them, whose expected domain token totals match the targets.
+Document rates then come from projected-gradient least squares: the nonnegative rates nearest
+to 1 whose expected domain token totals match the targets.
 A rate depends on a document only through its posterior, so an iteration needs no
-per-document state: the rate is an expression over the posterior and the earlier steps,
+per-document state: the rate is an expression over the posterior and the sum of the steps,
 and one pass of partial sums gives the next residual.
 """
 
@@ -26,8 +26,8 @@ VOCABULARY = 4096
 SIGNIFICANT = 20.0
 #: A word's log ratios count this much: words of a text are not independent.
 TEMPER = 0.5
-MAX_STEPS = 40
-TOLERANCE = 1e-6
+#: Greatest difference of a domain's share from its target, and the least part of a step, at which fitting ends.
+TOLERANCE, LEAST_STEP = 1e-6, 1e-3
 
 
 def _words(text_col: str) -> Column:
@@ -88,50 +88,61 @@ def posteriors(docs: DataFrame, model: tuple[list[str], list[float], DataFrame],
     return sums.select("doc_id", "n_tokens", *[(F.col(f"e_{i}") / whole).alias(f"p_{i}") for i in range(len(domains))])
 
 
-def _stepped(k: int, steps: list[np.ndarray]) -> Column:
-    """The rate after the steps: each goes down the gradient and is projected to zero or more."""
-    rate = F.lit(1.0)
-    for v in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{i}") * float(v[i]) for i in range(1, k)), F.col("p_0") * float(v[0])))
-    return rate
+def _rate(dual: np.ndarray) -> Column:
+    """The rate after all steps: 1 less the posterior times the steps' sum, projected to zero or more."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{i}") * float(x) for i, x in enumerate(dual)), F.lit(0.0)))
 
 
 def fit_rates(soft: DataFrame, targets: list[float]) -> tuple[DataFrame, dict]:
     """``soft`` (doc_id, n_tokens, p_0, ..) with ``rate``, and a report on the fit.
 
-    Minimises the squared distance between the expected domain token totals and ``targets``
-    (shares of all tokens) in the metric of the posteriors' Gram matrix, in which a gradient
-    step of length 1 never overshoots: with no rate at zero it is exact.
+    Among the nonnegative rates whose expected domain token totals match ``targets`` (shares of all
+    tokens), those nearest to 1. The gradient steps are summed and their sum is projected, so a rate is an
+    expression of one vector, however many steps there were. A step is the residual in the metric of the Gram matrix
+    of the documents whose rate is not at zero; it is halved while the residual does not fall. Steps
+    end when the residual is at most TOLERANCE, or when none makes it fall, as with targets that no
+    rates reach; the report's ``gap`` is the greatest difference that is left.
     """
     k = len(targets)
-    gram_of = [F.sum(F.col("n_tokens") * F.col(f"p_{i}") * F.col(f"p_{j}")) for i in range(k) for j in range(i, k)]
-    row = soft.agg(F.sum("n_tokens"), *gram_of).first()
-    total = float(row[0] or 0)
-    if not k or not total:
-        return soft.withColumn("rate", F.lit(1.0)), {"total": total, "reached": [], "targets": targets, "steps": 0}
-    gram, at = np.zeros((k, k)), 1
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = row[at] / total
-            at += 1
-    inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(k))
-    steps: list[np.ndarray] = []
-    while True:
-        rate = _stepped(k, steps)
-        reached = np.array(list(soft.withColumn("rate", rate).agg(*[F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{i}")), F.lit(0.0)) for i in range(k)]).first())) / total
-        residual = reached - np.array(targets)
-        if np.abs(residual).max() <= TOLERANCE or len(steps) == MAX_STEPS:
-            return soft.withColumn("rate", rate), {"total": total, "reached": reached.tolist(), "targets": targets, "steps": len(steps)}
-        steps.append(inverse @ residual)
+    places = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, expected totals of the domains and Gram matrix of documents above zero, as shares of all tokens; one pass."""
+        rows = soft.withColumn("rate", _rate(dual))
+        reached = [F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{i}")) for i in range(k)]
+        gram_of = [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * F.col(f"p_{i}") * F.col(f"p_{j}"))) for i, j in places]
+        row = [float(x or 0) for x in rows.agg(F.sum("n_tokens"), *reached, *gram_of).first()]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(places, row[1 + k :]):
+            gram[i, j] = gram[j, i] = x
+        total = max(row[0], 1.0)
+        return row[0], np.array(row[1 : 1 + k]) / total, gram / total
+
+    dual = np.zeros(k)
+    total, reached, gram = sums(dual) if k else (0.0, dual, None)
+    if not total:
+        return soft.withColumn("rate", F.lit(1.0)), {"total": total, "reached": [], "targets": targets, "steps": 0, "gap": 0.0}
+    whole, steps, length = gram, 0, 1.0
+    while (gap := float(np.abs(reached - targets).max())) > TOLERANCE and length > LEAST_STEP:
+        metric = gram if np.trace(gram) > 1e-6 * np.trace(whole) else whole
+        step = np.linalg.solve(metric + 1e-9 * np.trace(metric) * np.eye(k), reached - targets)
+        found = sums(dual + length * step)
+        if np.abs(found[1] - targets).max() < gap * (1 - 1e-3 * length):
+            dual, reached, gram = dual + length * step, found[1], found[2]
+            steps, length = steps + 1, min(1.0, 2 * length)
+        else:
+            length /= 2
+    return soft.withColumn("rate", _rate(dual)), {"total": total, "reached": reached.tolist(), "targets": targets, "steps": steps, "gap": gap}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", fit_docs: int = FIT_DOCS, keep: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>.., rate, copies): one row an id.
+    """(doc_id, n_tokens, p_<domain>.., rate, copies, gap): one row an id.
 
     rate is the expected number of copies; copies rounds it up or down by a hash of the id,
     so that its mean is the rate. Targets are scaled to sum to 1 over the labelled domains;
     domains without a target get none of the tokens. Nothing labelled, or no target: every rate
-    is 1. Null ids are one document; other columns are ignored.
+    is 1. Null ids are one document; other columns are ignored. gap, the same in all rows, is the greatest difference
+    of a domain's expected share from its target that the fit left (before ``keep``).
 
     keep: a domain whose target is at least its measured expected share of the tokens (the others
     share what is left), and whose documents stay: a fitted rate under 1 is raised to 1 wherever no
@@ -151,10 +162,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
             wanted = [good if i == at else w * (1 - good) / max(1 - wanted[at], 1e-12) for i, w in enumerate(wanted)]
             for i in range(len(domains)):
                 clean = clean if i == at else clean & (F.col(f"p_{i}") <= math.exp(model[1][i]) + 1e-9)
-        rated, _ = fit_rates(soft, wanted)
+        rated, report = fit_rates(soft, wanted)
         rated = rated.withColumn("rate", F.when(clean, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate")))
     else:
-        rated = soft.withColumn("rate", F.lit(1.0))
+        rated, report = soft.withColumn("rate", F.lit(1.0)), {"gap": 0.0}
     u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return rated.select("doc_id", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies.alias("copies"))
+    return rated.select("doc_id", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies.alias("copies"), F.lit(report["gap"]).alias("gap"))

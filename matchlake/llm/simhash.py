@@ -4,7 +4,8 @@ Fingerprints are computed from whole texts; distinct fingerprints are dealt into
 their population counts. Two fingerprints that differ in at most r bits have population
 counts at most r apart, in the whole word and summed over its parts, so only tile
 pairs within that radius are compared: numpy exclusive-or and bit counts, every pair, no
-candidate left out. More documents mean more parts a word is counted in, and so more and
+candidate left out. Of the pairs that a task finds near it gives those that connect them, nearest first, so a
+family of near copies gives about as many links as members. More documents mean more parts a word is counted in, and so more and
 finer tiles.
 """
 
@@ -58,8 +59,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def parts_for(distinct: int, per_tile: int = 1024) -> int:
-    """In how many equal parts of the 64 bits population counts are taken, so that a tile stays small."""
+def parts_for(distinct: int, per_tile: int = 1024, radius: int = 2) -> int:
+    """In how many equal parts of the 64 bits population counts are taken, so that a tile stays small; beyond 4 bits the whole word, since a part's counts tell little."""
+    if radius > 4:
+        return 1
     for parts, bits in ((1, 5), (2, 9), (4, 12), (8, 20)):  # about log2 of the tiles that random bits fill
         if distinct >> bits <= per_tile:
             break
@@ -67,8 +70,8 @@ def parts_for(distinct: int, per_tile: int = 1024) -> int:
 
 
 def links(fps: DataFrame, distinct: int, radius: int = 2) -> DataFrame:
-    """All pairs (a, b) of rows of ``fps`` (fp, rep), distinct in fp, whose fps differ in 1..radius bits."""
-    spark, parts = fps.sparkSession, parts_for(distinct)
+    """Pairs (a, b) of rows of ``fps`` (fp, rep), distinct in fp, whose fps differ in 1..radius bits: enough to connect all such pairs."""
+    spark, parts = fps.sparkSession, parts_for(distinct, radius=radius)
     width = 64 // parts
     count = lambda i: F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)))
     tiled = fps.withColumn("tile", sum((F.shiftleft(count(i).cast("long"), 7 * i) for i in range(parts)), F.lit(0).cast("long")))
@@ -92,17 +95,59 @@ def links(fps: DataFrame, distinct: int, radius: int = 2) -> DataFrame:
             mid = lo + int((~home[lo:hi]).sum())
             for part in range(lo, mid, 512):
                 stop = min(mid, part + 512)
-                near = np.bitwise_count(fp[part:stop, None] ^ fp[None, mid:hi]) <= radius
-                own = tile_of(fp[part:stop], parts) == tile[lo]
-                i, j = np.nonzero(near)
-                keep = ~own[i] | (fp[part + i] < fp[mid + j])  # a tile visits itself too: each pair once
-                left.append(rep[part + i[keep]])
-                right.append(rep[mid + j[keep]])
+                apart = np.bitwise_count(fp[part:stop, None] ^ fp[None, mid:hi])
+                far = apart > radius
+                own = np.flatnonzero(tile_of(fp[part:stop], parts) == tile[lo])
+                far[own] |= fp[part + own, None] >= fp[None, mid:hi]  # a tile visits itself too: each pair once
+                if far.all():
+                    continue
+                apart[far] = FAR
+                i, j = connecting(apart)
+                left.append(rep[part + i])
+                right.append(rep[mid + j])
         return pd.DataFrame({"a": np.concatenate(left or [rep[:0]]), "b": np.concatenate(right or [rep[:0]])})
 
     return rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "a long, b long")
 
 
+#: Stands for a distance beyond the radius.
+FAR = 255
+
+
+def connecting(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) under FAR that connect all rows and columns that such places connect: rounds of each row's nearest column of another group."""
+    rows, columns = (np.flatnonzero((apart < FAR).any(axis=x)) for x in (1, 0))
+    apart = apart[np.ix_(rows, columns)]
+    label = np.arange(len(rows) + len(columns))
+    out_i, out_j = [], []
+    while True:
+        other = np.where(label[: len(rows), None] == label[None, len(rows) :], FAR, apart)
+        best = other.argmin(axis=1)
+        for i in np.flatnonzero(other[np.arange(len(rows)), best] < FAR).tolist():
+            x, y = label[i], label[len(rows) + best[i]]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                out_i.append(rows[i])
+                out_j.append(columns[best[i]])
+        if not out_i or not (other < FAR).any():
+            return np.array(out_i, np.int64), np.array(out_j, np.int64)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ids whose texts have an exact Jaccard similarity of at least ``similarity`` over shingles of ``words`` words."""
+    pairs = checkpointed(pairs.distinct())
+    asked = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sized(asked, 16), "id")
+    texts = texts.groupBy("id").agg(F.max("text").alias("text"))  # rows that share an id: one of them
+    own = texts.select("id", F.expr(r"array_remove(split(lower(text), '[ \\t-\\r]+'), '')").alias("w"))
+    shingles = f"array_distinct(transform(sequence(0, greatest(0, size(w) - {words})), i -> xxhash64(slice(w, i + 1, {words}))))"
+    own = checkpointed(own.select("id", F.expr(shingles).alias("s")))
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("both"))
+    return both.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common")) - 1e-9).select("a", "b")
+
+
 def tile_of(fp: np.ndarray, parts: int) -> np.ndarray:
     width, out = 64 // parts, np.zeros(len(fp), np.int64)
     mask = np.uint64((1 << width) - 1)
@@ -119,17 +164,20 @@ def _steps(parts: int, radius: int) -> list[tuple[int, ...]]:
     return sorted(d for d in found if d >= (0,) * parts)
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over fingerprints at most
     ``radius`` bits apart. Equal fingerprints are one node, however many documents share
     them. Repeated rows come back repeated; a null id takes part with its text but
     names no group (a group of null ids only has component null). Other columns are ignored.
+    With a ``similarity``, links between different fingerprints hold only if the texts' exact Jaccard similarity of
+    shingles reaches it.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, words))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = nodes.count()
-    groups = connected_components(links(nodes.where("rep IS NOT NULL"), n, radius))
+    near = links(nodes.where("rep IS NOT NULL"), n, radius)
+    groups = connected_components(near if similarity is None else similar(near, docs, id_col, text_col, words, similarity))
     nodes = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(sized(nodes, 48, n), "fp").select("doc_id", "fp", "component_id")
