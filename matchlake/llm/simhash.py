@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from matchlake.llm._common import as_batch, checkpointed, connected_components, partitions, pieces, sized
 
-#: Members of a tile that one task compares with its visitors at a time.
-CHUNK = 4096
+#: Members of a tile that one task compares with its visitors, and pairs it compares at a time.
+CHUNK, BLOCK = 16_384, 2 << 20
 _SEED = 42
 _ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
@@ -93,8 +93,9 @@ def links(fps: DataFrame, distinct: int, radius: int = 2) -> DataFrame:
         left, right = [], []
         for lo, hi in zip(cuts, np.r_[cuts[1:], len(fp)]):
             mid = lo + int((~home[lo:hi]).sum())
-            for part in range(lo, mid, 512):
-                stop = min(mid, part + 512)
+            step = max(1, BLOCK // max(1, hi - mid))
+            for part in range(lo, mid, step):
+                stop = min(mid, part + step)
                 apart = np.bitwise_count(fp[part:stop, None] ^ fp[None, mid:hi])
                 far = apart > radius
                 own = np.flatnonzero(tile_of(fp[part:stop], parts) == tile[lo])
