@@ -520,9 +520,65 @@ def test_gradient_is_that_of_the_loss():
         assert math.isclose((up - down) / (2 * step), g[k][at], rel_tol=1e-3, abs_tol=1e-7), k
 
 
+def test_scores_are_the_models_probabilities(spark, monkeypatch):
+    # token by token in plain numpy, from the weights that training gave; held-out texts score above the base
+    import numpy as np
+
+    rng = random.Random(19)
+    rows = [(i, " ".join(x for _ in range(rng.randint(1, 40)) for x in rng.choice([("of", "the", "end"), ("it", "was", "so"), (f"rare{rng.randrange(300)}",)]))) for i in range(200)] + ODD
+    kept, train = [], gru.train_on
+
+    def keep(learn, model, ids, total, *more):
+        before = model.flat()
+        train(learn, model, ids, total, *more)
+        kept.append((model, ids, np.abs(model.flat() - before).max()))
+
+    monkeypatch.setattr(gru, "train_on", keep)
+    training = F.col("doc_id") < 150
+    found = gru.score_documents(table(spark, rows), training).collect()
+    model, ids, moved = kept[0]
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    counts = Counter(w for i, t in rows if i is not None and i < 150 for w in gru.tokens(t))
+    mass = np.full(gru.TAILS, 0.5)
+    for w, n in counts.items():
+        if w not in ids:
+            mass[gru.tail_of(w)] += n + 0.5
+
+    def plain(text):
+        h, before, total = np.zeros(gru.HIDDEN), 0, 0.0
+        for w in gru.tokens(text):
+            gx, gh = p["E"][before] @ p["Wx"] + p["b"], h @ p["Wh"]
+            z, r = np.split(1 / (1 + np.exp(-(gx + gh)[: 2 * gru.HIDDEN])), 2)
+            n = np.tanh(gx[2 * gru.HIDDEN :] + r * gh[2 * gru.HIDDEN :])
+            h = n + z * (h - n)
+            own = ids.get(w, gru.COMMON + gru.tail_of(w))
+            soft = np.exp(h @ p["Wc"] + p["bc"])
+            if own < gru.COMMON:
+                c, k = divmod(own, gru.CLASS_WORDS)
+                words = np.exp(p["U"][c] @ h + p["bu"][c])
+                total += math.log10(soft[c] / soft.sum() * words[k] / words.sum())
+            else:
+                c = own - gru.COMMON
+                total += math.log10(soft[gru.CLASSES + c] / soft.sum() * (counts[w] + 0.5) / mass[c])
+            before = own
+        return total
+
+    texts = {}
+    for i, t in rows:
+        texts[i] = plain(t) if i != 705 else None
+    assert moved > 0.01
+    for r in found:
+        if r["doc_id"] != 705:
+            assert math.isclose(r["score"], texts[r["doc_id"]], rel_tol=1e-4, abs_tol=1e-3)
+    held = [r for r in found if r["doc_id"] is not None and 150 <= r["doc_id"] < 200]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_scores_without_training_rows(spark):
     found = gru.score_documents(table(spark, [(1, "a b"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    each = math.log10(1 / (1 + gru.TAILS))
+    assert math.isclose(found[0]["score"], 3 * each, rel_tol=1e-5) and math.isclose(found[1]["score"], each, rel_tol=1e-5)
     assert gru.score_documents(table(spark, []), F.lit(True)).count() == 0
 
 
