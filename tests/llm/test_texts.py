@@ -541,7 +541,7 @@ def test_scores_are_the_models_probabilities(spark, monkeypatch):
     counts = Counter(w for i, t in rows if i is not None and i < 150 for w in gru.tokens(t))
     mass = np.full(gru.TAILS, 0.5)
     for w, n in counts.items():
-        if w not in ids:
+        if ids.get(w, gru.COMMON) >= gru.COMMON:
             mass[gru.tail_of(w)] += n + 0.5
 
     def plain(text):
