@@ -28,8 +28,8 @@ FIT_VECTORS = 20_000
 LIST, MOST_LISTS = 128, 8192
 #: A vector is also posted to centroids up to this ratio farther than its nearest.
 BOUNDARY, REPLICAS = 1.1, 4
-#: Share of the sample's true neighbours that the searched lists must cover.
-COVER = 0.985
+#: Share of the sample's true neighbours that the searched lists must cover; measured recall on whole tables is higher (README).
+COVER = 0.93
 #: Neighbours of a node of the centroid graph; nodes a walk keeps.
 DEGREE, BEAM = 16, 64
 CHUNK, QUERY_CHUNK = 4096, 1024
@@ -123,11 +123,19 @@ class Index:
         self._fit_ratio(sample, x, k, rng)
 
     def postings(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the nearest list, and those within the boundary ratio."""
-        ids, distance = self.graph.search(augmented(v, self.norm), min(16, self.beam))
-        keep = (distance <= distance[:, :1] * BOUNDARY) & np.isfinite(distance)
-        keep[:, REPLICAS:] = False
+        """(row, list): the nearest list, and others within the boundary ratio whose centroid is nearer to the vector than to any list chosen before."""
+        x = augmented(v, self.norm)
+        ids, distance = self.graph.search(x, min(16, self.beam))
+        centres = self.graph.centres
+        keep = np.zeros(ids.shape, bool)
         keep[:, 0] = True
+        for j in range(1, ids.shape[1]):
+            may = (distance[:, j] <= distance[:, 0] * BOUNDARY) & (keep.sum(axis=1) < REPLICAS)
+            rows = np.flatnonzero(may)
+            for i in range(j):
+                gap = np.sqrt(((centres[ids[rows, i]] - centres[ids[rows, j]]) ** 2).sum(axis=1))
+                rows = rows[~keep[rows, i] | (gap >= distance[rows, j])]
+            keep[rows, j] = True
         row, at = np.nonzero(keep)
         return row, ids[row, at]
 

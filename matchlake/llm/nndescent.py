@@ -30,9 +30,10 @@ NEIGHBOURS = 10
 LEAF, TILE = 256, 1024
 #: Share of links just over the threshold that the first trees find.
 RECALL = 0.999
-#: Vectors that the audit compares with all others of their label, at most.
+#: Vectors that the audit compares with all others of their label: so many that have links, and so many of all.
 AUDIT = 64
-ROUNDS, MORE_TREES = 4, 3
+#: Times that trees are doubled while recall is short; then labels are compared exactly, in tiles.
+MORE_TREES = 3
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | None = None) -> DataFrame:
@@ -167,8 +168,10 @@ def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, links: DataFrame, count: int, threshold: float) -> float:
-    """Share of the true links of a hash sample of vectors that ``links`` has."""
-    some = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).collect()
+    """Share of the true links of some vectors, half of them such as have links, that ``links`` has."""
+    any_of = lambda x: x.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT)
+    ends = any_of(links.select(F.col("a").alias("id")).union(links.select("b")).distinct())
+    some = any_of(nodes).select("id", "label", "v").union(nodes.join(F.broadcast(ends), "id").select("id", "label", "v")).distinct().collect()
     if not some:
         return 1.0
     v, ids, labels = unit(np.array([r["v"] for r in some])), np.array([r["id"] for r in some]), [r["label"] for r in some]
@@ -235,13 +238,16 @@ def _links(nodes: DataFrame, depths: dict, trees: int, dim: int, threshold: floa
     lists = checkpointed(ordered(_tile_lists(_trees(nodes, 0, trees, depths, dim), threshold, k).where(F.col("s") >= floor)))
     for again in range(MORE_TREES + 1):
         fresh = lists
-        for _ in range(ROUNDS):
+        while True:
             more = checkpointed(ordered(_refined(lists, nodes, fresh, floor, k)).where(F.col("s") >= floor))
             if not more.where(F.col("s") >= threshold).limit(1).count():
                 break
             lists, fresh = checkpointed(lists.union(more)), more
         links = lists.where(F.col("s") >= threshold)
-        if again == MORE_TREES or _audit(nodes, links, trees, threshold) >= RECALL:
+        if _audit(nodes, links, trees, threshold) >= RECALL:
             return links
+        if again == MORE_TREES:
+            exact = nodes.select(F.col("label").alias("key"), "id", "v")
+            return ordered(_tile_lists(exact, threshold, k).where(F.col("s") >= threshold))
         more = _tile_lists(_trees(nodes, trees, trees, depths, dim), threshold, k).where(F.col("s") >= floor)
         lists, trees = checkpointed(ordered(lists.union(more))), 2 * trees
