@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -79,6 +81,14 @@ def pieces(batches, rows: int = 2048, limit: int = 32 << 20):
         while start < n:
             yield batch.slice(start, each)
             start += each
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task shares its executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
