@@ -41,6 +41,11 @@ TO_LATIN = {
 # Glyphs that look like Cyrillic capitals.
 TO_CYRILLIC = {"a": "а", "b": "в", "c": "с", "e": "е", "h": "н", "k": "к", "m": "м", "o": "о", "p": "р", "t": "т", "x": "х", "y": "у", "3": "з", "6": "б"}
 LOOKALIKES = "abcehkmoptxy"
+# Greek letters read for Cyrillic ones.
+GREEK = {
+    "Α": "А", "Β": "В", "Γ": "Г", "Δ": "Д", "Ε": "Е", "Ζ": "З", "Η": "Н", "Κ": "К", "Λ": "Л", "Μ": "М", "Ο": "О", "Π": "П", "Ρ": "Р", "Τ": "Т", "Υ": "У", "Φ": "Ф", "Χ": "Х",
+    "α": "а", "γ": "г", "δ": "д", "ε": "е", "κ": "к", "λ": "л", "μ": "м", "ο": "о", "π": "п", "ρ": "р", "τ": "т", "υ": "у", "φ": "ф", "χ": "х",
+}
 # Digits read as letters.
 DIGITS = {"о": "0", "o": "0", "з": "3", "б": "6"}
 # Grape and style terms in both scripts.

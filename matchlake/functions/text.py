@@ -80,13 +80,14 @@ def repair_digits(x: Column) -> Column:
 
 
 def raw_words(x: Column | str) -> Column:
-    """Words of recognised text: cut where case rises, digits repaired, runs of letters or of digits.
+    """Words of recognised text: Greek letters as Cyrillic, cut where case rises, ё as е, digits repaired, runs of letters or of digits.
 
-    The text should be in normal form NFKC (see nfkc).
+    The text should be in normal form NFKC with its case (see nfkc_cased).
     """
-    spaced = F.lower(F.regexp_replace(F.coalesce(col(x), F.lit("")), "(?<=[a-zа-яё])(?=[A-ZА-ЯЁ])", " "))
-    cut = F.regexp_extract_all(spaced, F.lit("[a-zа-яё0-9]+"), F.lit(0))
-    return F.flatten(F.transform(cut, lambda w: F.regexp_extract_all(repair_digits(w), F.lit("[a-zа-яё]+|[0-9]+"), F.lit(0))))
+    read = F.translate(F.coalesce(col(x), F.lit("")), "".join(T.GREEK), "".join(T.GREEK.values()))
+    spaced = F.lower(F.regexp_replace(read, "(?<=[a-zа-яё])(?=[A-ZА-ЯЁ])", " "))
+    cut = F.regexp_extract_all(F.replace(F.translate(spaced, "ё", "е"), F.lit("ß"), F.lit("ss")), F.lit("[a-zа-я0-9]+"), F.lit(0))
+    return F.flatten(F.transform(cut, lambda w: F.regexp_extract_all(repair_digits(w), F.lit("[a-zа-я]+|[0-9]+"), F.lit(0))))
 
 
 def roman(x: Column) -> Column:
@@ -106,12 +107,22 @@ def canonical(x: Column) -> Column:
 
 
 def variants(x: Column) -> Column:
-    """Spellings under which a raw word may stand in the index; none for style, stop and short words."""
+    """Spellings under which a raw word may stand in the index: as read, in one script, as a term, as a number, in Latin letters.
+
+    Words of one or two letters have none, nor has a word of which any spelling tells a style; stop words,
+    single digits and spellings under three letters are left out.
+    """
     folded = fold_word(x)
-    both = F.array_distinct(F.array_compact(F.array(x, folded, canonical(x), canonical(folded), roman(x), translit(folded))))
-    drop = F.array(*[F.lit(w) for w in sorted({*T.STOP, *T.STYLE_WORDS})])
-    useful = F.filter(both, lambda w: ~F.array_contains(drop, w) & ((F.length(w) >= 3) | w.rlike("^[0-9]+$")))
-    return F.when(F.arrays_overlap(F.array(x, folded), F.array(*[F.lit(w) for w in T.STYLE_WORDS])), F.array().cast("array<string>")).otherwise(useful)
+    read = [x, folded, canonical(x), canonical(folded)]
+    latin = [F.when(w.rlike("[а-яё]"), translit(w)) for w in read]
+    forms = F.array_distinct(F.array_compact(F.array(*read, roman(x), *latin)))
+    useful = F.filter(forms, lambda w: ~F.array_contains(_fixed(T.STOP), w) & ((F.length(w) >= 3) | w.rlike("^[0-9]{2,}$")))
+    none = ((F.length(x) < 3) & ~x.rlike("^[0-9]+$")) | F.arrays_overlap(forms, _fixed(T.STYLE_WORDS))
+    return F.when(none, F.array().cast("array<string>")).otherwise(useful)
+
+
+def _fixed(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def style(x: Column | str, group: str) -> Column:
@@ -140,6 +151,23 @@ def deletes(x: Column, depth: int = 1) -> Column:
     return F.filter(out, lambda w: F.length(w) > 0)
 
 
+def piece_keys(token: Column) -> Column:
+    """The thirds of a token, with its length and their places: two edits leave one of them whole."""
+    m = F.length(token)
+    cut = lambda i: F.floor(m * i / 3)
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat_ws("#", m, i, F.substring(token, (cut(i) + 1).cast("int"), (cut(i + 1) - cut(i)).cast("int"))))
+
+
+def piece_probes(word: Column, least: int) -> Column:
+    """The keys of piece_keys under which a token of ``least`` letters or more within two edits of ``word`` is found."""
+    n = F.length(word)
+    cut = lambda m, i: F.floor(m * i / 3).cast("int")
+    one = lambda m, i, shift: F.when(cut(m, i) + shift >= 0, F.concat_ws("#", m, i, F.substring(word, cut(m, i) + 1 + shift, cut(m, i + 1) - cut(m, i))))
+    shifts = lambda m, i: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda shift: one(m, i, shift))
+    sizes = F.filter(F.sequence(n - 2, n + 2), lambda m: m >= least)
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(sizes, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: shifts(m, i)))))))
+
+
 def within(a: Column, b: Column, limit: int) -> Column:
     """Edit distance if it is at most ``limit``, else limit + 1."""
     d = F.levenshtein(a, b, limit)
@@ -164,6 +192,11 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def nfkc_cased(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def url_part(x: Column, part: str) -> Column:
     return F.try_parse_url(x, F.lit(part))
 

@@ -14,8 +14,8 @@ from pyspark.sql.types import DoubleType
 from matchlake.functions import tables as T
 from matchlake.functions import text as X
 
-#: A dictionary of at most so many tokens is broadcast to resolve misspelt words.
-DICTIONARY_BROADCAST = 500_000
+#: Tokens of more letters are found by their thirds instead of what is left of them without letters.
+LONG_TOKEN = 15
 
 
 @dataclass
@@ -48,15 +48,17 @@ def resolve(words: DataFrame, idf: DataFrame) -> DataFrame:
 
     The word itself; else the nearest token within one edit (two from seven letters), ties to
     the smaller idf and token; else the first cut into two tokens. Candidates come from an
-    equi-join on what is left of both sides without a letter, so no pair of a word and a
+    equi-join on what is left of both sides without a letter or two, for tokens of more than LONG_TOKEN letters
+    on their thirds, so keys grow with a word's length alone and no pair of a word and a
     token that share nothing is looked at.
     """
     exact = words.join(idf.select(F.col("token").alias("word")), "word").select("word", F.col("word").alias("token"), F.lit(T.EXACT).alias("factor"))
     missing = words.join(idf.select(F.col("token").alias("word")), "word", "left_anti")
     long = missing.where((F.length("word") >= 4) & ~F.col("word").rlike("^[0-9]+$")).withColumn("limit", F.when(F.length("word") <= 6, 1).otherwise(2))
-    keys = lambda c: F.explode(F.when(F.length(c) <= 5, X.deletes(F.col(c), 1)).otherwise(X.deletes(F.col(c), 2)))
-    left = long.select("word", "limit", keys("word").alias("key"))
-    right = idf.where(F.length("token") >= 3).select("token", "idf", keys("token").alias("key"))
+    keys = lambda c: F.when(F.length(c) > LONG_TOKEN + 2, F.array().cast("array<string>")).when(F.length(c) <= 5, X.deletes(F.col(c), 1)).otherwise(X.deletes(F.col(c), 2))
+    probes = F.when(F.length("word") >= LONG_TOKEN - 1, X.piece_probes(F.col("word"), LONG_TOKEN + 1)).otherwise(F.array().cast("array<string>"))
+    left = long.select("word", "limit", F.explode(F.concat(keys("word"), probes)).alias("key"))
+    right = idf.where(F.length("token") >= 3).select("token", "idf", F.explode(F.when(F.length("token") > LONG_TOKEN, X.piece_keys(F.col("token"))).otherwise(keys("token"))).alias("key"))
     pairs = left.join(right, "key").select("word", "limit", "token", "idf").distinct()
     near = pairs.withColumn("d", F.expr("levenshtein(word, token, 2)")).where((F.col("d") >= 0) & (F.col("d") <= F.col("limit")))
     best = near.withColumn("_n", F.row_number().over(W.partitionBy("word").orderBy("d", "idf", "token"))).where("_n = 1")
@@ -115,15 +117,18 @@ def search(queries: DataFrame, catalog: DataFrame, limit: int = 20, floor: float
 
     Three quarters token overlap, one quarter sequence ratio, at most 1; the best ``limit``
     of each query, and of these what reaches ``floor``. Entities that share a token
-    with the query are found by an equi-join; a query that shares none with any meets all.
+    with the query are found by an equi-join. A query that shares none with any can reach no floor of 0.25 or
+    more; for a lower floor it meets all entities.
     """
     q = queries.select("query_id", X.normalize("text").alias("q_text"), X.tokens("text").alias("q_tokens"))
     c = catalog.select("entity", X.normalize("text").alias("c_text"), X.tokens("text").alias("c_tokens"))
     shared = q.select("query_id", F.explode("q_tokens").alias("token")).join(c.select("entity", F.explode("c_tokens").alias("token")), "token").groupBy("query_id", "entity").agg(F.count("*").alias("shared"))
     hit = shared.join(q, "query_id").join(c, "entity")
-    lost = q.join(shared.select("query_id").distinct(), "query_id", "left_anti").where(F.size("q_tokens") > 0)
-    every = lost.join(c).withColumn("shared", F.lit(0).cast("long"))
-    rows = hit.select(*every.columns).unionByName(every)
+    columns = [*q.columns, *[c_ for c_ in c.columns if c_ not in q.columns], "shared"]
+    rows = hit.select(*columns)
+    if floor < 0.25:  # without a shared token, only a quarter of the ratio is left, and equal texts share one
+        lost = q.join(shared.select("query_id").distinct(), "query_id", "left_anti").where(F.size("q_tokens") > 0)
+        rows = rows.unionByName(lost.crossJoin(c).withColumn("shared", F.lit(0).cast("long")))
     rows = rows.withColumn("overlap", F.col("shared") / F.size("q_tokens"))
     rows = rows.withColumn("ratio", X.sequence_ratio("q_text", "c_text") if ratio is None else ratio)
     rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), 0.75 * F.col("overlap") + 0.25 * F.col("ratio")), 6))

@@ -130,7 +130,7 @@ def ocr_delta(spark, sf_dir):
 
 @query("word_variants")
 def word_variants(spark, sf_dir):
-    words = table(spark, sf_dir, "conversations").select(F.explode(X.raw_words(X.nfkc(F.col("text")))).alias("word")).distinct()
+    words = table(spark, sf_dir, "conversations").select(F.explode(X.raw_words(X.nfkc_cased(F.col("text")))).alias("word")).distinct()
     return words.select("word", X.variants(F.col("word")).alias("variants"), X.fold_word(F.col("word")).alias("folded"))
 
 

@@ -220,3 +220,40 @@ def test_feed_over_fetch_may_return_fewer(spark):
 
 def test_weights_keep_their_order():
     assert list(T.RANKER)[:2] == ["visual_gap", "visual_far"] and len(T.RANKER) == 13
+
+
+def test_resolve_equals_all_pairs_at_every_length(spark):
+    """Words one or two edits from tokens of 4 to 40 letters and one of 3,000, against all pairs."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    tokens = sorted({"".join(rng.choice("abcde") for _ in range(n)) for n in range(4, 41) for _ in range(3)})
+    huge = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    asked = set()
+    for t in [*tokens, huge]:
+        for edits in (1, 2, 3):
+            w = t
+            for _ in range(edits):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w = w[:at] + ("" if kind == 0 else rng.choice("abcde")) + w[at + (kind < 2) :]
+            asked.add(w)
+    asked = sorted(asked - {*tokens, huge})
+    idf = spark.createDataFrame([(t, 1, 1.0) for t in [*tokens, huge]], "token string, df long, idf double")
+    words = spark.createDataFrame([(w,) for w in asked], "word string")
+    found = {r["word"]: r["token"] for r in lexical.resolve(words, idf).where(F.col("factor") == 0.6).collect()}
+    want = {}
+    for w in asked:
+        near = [(0 if len(t) > 1000 else distance(w, t), t) for t in [*tokens, huge] if abs(len(t) - len(w)) <= 2 and len(w) >= 4]
+        near = [x for x in near if x[0] <= (1 if len(w) <= 6 else 2)]
+        if near and len(w) < 1000:
+            want[w] = min(near)[1]
+    assert {w: t for w, t in found.items() if len(w) < 1000} == want and want
+    assert sum(len(w) >= 1000 for w in found) == 2  # one and two edits, not three

@@ -22,6 +22,17 @@ def test_raw_words_repair_digits_and_cut_runs(spark):
     assert one(spark, X.raw_words(F.lit(None).cast("string"))) == []
 
 
+def test_raw_words_fold_greek_and_cut_before_case_goes(spark):
+    assert one(spark, X.raw_words(X.nfkc_cased(F.lit("ЧёрноеBrut2022")))) == ["черное", "brut", "2022"]
+    assert one(spark, X.raw_words(X.nfkc_cased(F.lit("ΚΡΑCΗΟΕ ＡＢ")))) == ["краcное", "ab"]
+    assert one(spark, X.raw_words(F.lit("Weiß"))) == ["weiss"]
+
+
+@pytest.mark.parametrize("word, want", [("cabernet", {"cabernet", "каберне", "kaberne"}), ("brut", set()), ("брют", set()), ("ab", set()), ("7", set()), ("12", {"12"}), ("2022", {"2022"})])
+def test_variants_of_terms_styles_and_digits(spark, word, want):
+    assert set(one(spark, X.variants(F.lit(word)))) == want
+
+
 def test_styles_of_folded_words(spark):
     assert one(spark, X.style(F.lit("CYXOE KPACHOE"), "sweetness")) == "dry"
     assert one(spark, X.style(F.lit("CYXOE KPACHOE"), "colour")) == "red"
