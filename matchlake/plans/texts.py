@@ -85,15 +85,16 @@ def style_votes(spark, sf_dir):
 
 @query(
     "fuzzy_resolve",
-    f"""WITH {INDEX}, w AS (SELECT DISTINCT regexp_replace(word, '^(..).', '\\1') AS word FROM q WHERE length(word) BETWEEN 6 AND 7), miss AS (SELECT word FROM w WHERE word NOT IN (SELECT token FROM idf)),
-p AS (SELECT word, token, levenshtein(word, token) AS d, idf FROM miss JOIN idf ON abs(length(word) - length(token)) <= 1 WHERE length(word) <= 6 AND length(token) >= 3 AND levenshtein(word, token) <= 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, idf, token) AS n FROM p) SELECT word, token FROM r WHERE n = 1""",
+    f"""WITH {INDEX}, w AS (SELECT DISTINCT regexp_replace(word, '^(..).', '\\1') AS word FROM q), known AS (SELECT token FROM idf), miss AS (SELECT word FROM w WHERE word NOT IN (FROM known) AND length(word) >= 4 AND NOT regexp_matches(word, '^[0-9]+$')),
+p AS (SELECT word, token, levenshtein(word, token) AS d, idf FROM miss JOIN idf ON abs(length(word) - length(token)) <= 2 WHERE length(token) >= 3 AND levenshtein(word, token) <= CASE WHEN length(word) <= 6 THEN 1 ELSE 2 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, idf, token) AS n FROM p), cuts AS (SELECT word, unnest(range(3, length(word) - 2)) AS cut FROM miss WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM r)),
+g AS (SELECT word, cut, substring(word, 1, cut) AS a, substring(word, cut + 1) AS b FROM cuts), h AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cut) AS n FROM g WHERE a IN (FROM known) AND b IN (FROM known))
+SELECT word, word AS token, CAST(1 AS DOUBLE) AS factor FROM w WHERE word IN (FROM known) UNION ALL SELECT word, token, CAST(0.6 AS DOUBLE) FROM r WHERE n = 1 UNION ALL SELECT word, unnest([a, b]), CAST(0.8 AS DOUBLE) FROM h WHERE n = 1""",
 )
 def fuzzy_resolve(spark, sf_dir):
-    """Words of the passages with their third letter lost, as dictionary tokens one edit away."""
-    words = passages(spark, sf_dir).where(F.length("word").between(6, 7)).select(F.regexp_replace("word", "^(..).", "$1").alias("word")).distinct()
-    found = lexical.resolve(words, index(spark, sf_dir).idf)
-    return found.where("factor = 0.6").select("word", "token")
+    """All words of the passages with their third letter lost, as dictionary tokens: equal, one or two edits away, or two in one."""
+    words = passages(spark, sf_dir).select(F.regexp_replace("word", "^(..).", "$1").alias("word")).distinct()
+    return lexical.resolve(words, index(spark, sf_dir).idf)
 
 
 @query(
