@@ -295,15 +295,15 @@ def threshold_curve(spark, sf_dir):
 @query("paired_bootstrap")
 def paired_bootstrap(spark, sf_dir):
     rows = judged(spark, sf_dir).withColumn("group", F.col("query_id") % 50).withColumn("a", F.col("correct").cast("double")).withColumn("b", (F.col("rank_of_truth") <= 3).cast("double"))
-    return evaluate.paired_bootstrap(rows, "group", "a", "b", 500)
+    return evaluate.paired_bootstrap(rows, "group", "a", "b")
 
 
 @query("conditional_logit")
 def conditional_logit(spark, sf_dir):
     truth = gallery(spark, sf_dir).select(F.col("item").alias("query_id"), F.col("entity").alias("truth"))
-    names = ["visual_gap", "visual_far", "text_share"]
+    names = list(T.RANKER)
     rows = featured(spark, sf_dir).join(truth, "query_id").withColumn("correct", F.col("entity") == F.col("truth"))
-    found = evaluate.conditional_logit(rows, names, steps=8)
+    found = evaluate.conditional_logit(rows, names)
     return spark.createDataFrame(list(zip(names, found)), "feature string, weight double")
 
 
