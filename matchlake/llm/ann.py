@@ -2,13 +2,15 @@
 
 The index: centroids of balanced clusters, fitted on a bounded sample; every vector is posted to its
 nearest centroid's list, and a vector near a boundary to several. A search finds the
-lists near a query by walking a graph over the centroids that every task holds in
+lists near a query by a graph over the centroids that every task holds in
 memory, keeps those whose distance is within a ratio of the nearest's, and scores their
-members. The ratio is measured on the sample so that the neighbours asked for are
-covered; lists and their queries are dealt in chunks of bounded size.
+members. The graph is walked where that meets few of many centroids; up to DIRECT of them one matrix product is
+less work. The ratio is measured on the sample so that the neighbours asked for are
+covered. Lists are laid together in shards of about CHUNK members, so a query goes once to each shard it has lists in;
+shards and their queries are dealt in chunks of bounded size.
 
-Largest inner product becomes least distance with one more component: sqrt(M^2 - |x|^2)
-for a member, zero for a query, M the greatest norm.
+Largest inner product becomes least distance with one more component: sqrt(1 - |x|^2)
+for a member, zero for a query, of vectors over the greatest norm.
 """
 
 from __future__ import annotations
@@ -25,21 +27,34 @@ from matchlake.llm.nndescent import _matrix, usable
 #: Vectors that centroids, ratio and lists are fitted on, at most about (by a hash of the id).
 FIT_VECTORS = 20_000
 #: Vectors of a list, about; there are at most MOST_LISTS, larger data have larger lists.
-LIST, MOST_LISTS = 128, 8192
+LIST, MOST_LISTS = 256, 8192
 #: A vector is also posted to centroids up to this ratio farther than its nearest.
 BOUNDARY, REPLICAS = 1.1, 4
 #: Share of the sample's true neighbours that the searched lists must cover; measured recall on whole tables is higher (README).
 COVER = 0.93
 #: Neighbours of a node of the centroid graph; nodes a walk keeps.
 DEGREE, BEAM = 16, 64
-CHUNK, QUERY_CHUNK = 4096, 1024
+#: Centroids of which all distances are taken at once instead of a walk.
+DIRECT = 4096
+#: Members and queries of a tile; fewer members, but LEAST_CHUNK, if that gives more tasks work.
+CHUNK, QUERY_CHUNK, LEAST_CHUNK = 32_768, 32_768, 4096
+#: Numbers of a matrix of scores, pairs that are scored exactly at a time, and columns that a bound is taken over.
+SCORES, PAIRS, STRIDE = 4 << 20, 1 << 17, 32
 
 
 def augmented(v: np.ndarray, norm: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(0.0, norm * norm - (v * v).sum(axis=1)))
+    v = v / norm
+    rest = np.sqrt(np.maximum(0.0, 1 - (v * v).sum(axis=1)))
     return np.concatenate((v, rest[:, None]), axis=1)
 
 
+def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the nearest centre of each row."""
+    half, turned = (centres * centres).sum(axis=1).astype(np.float32) / 2, centres.T.astype(np.float32)
+    step = max(1, SCORES // max(1, len(centres)))
+    return np.concatenate([np.zeros(0, np.int64), *((half - x[at : at + step].astype(np.float32) @ turned).argmin(axis=1) for at in range(0, len(x), step))])
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T)
 
@@ -49,12 +64,12 @@ def balanced_centroids(x: np.ndarray, lists: int, rng: np.random.Generator) -> n
     most = max(2, 2 * len(x) // max(1, lists))
     centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(6):
-        own = squared(x, centres).argmin(axis=1)
+        own = closest(x, centres)
         size = np.bincount(own, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         centres = total[size > 0] / size[size > 0, None]
-    own = squared(x, centres).argmin(axis=1)
+    own = closest(x, centres)
     todo, out = [np.flatnonzero(own == c) for c in range(len(centres))], []
     while todo:
         part = todo.pop()
@@ -74,16 +89,20 @@ class CentroidGraph:
     def __init__(self, centres: np.ndarray, rng: np.random.Generator):
         n = len(centres)
         self.centres, self.square = centres, (centres * centres).sum(axis=1)
+        if n <= DIRECT:
+            return
         degree = min(DEGREE, n)
         near = np.empty((n, degree), np.int64)
         for at in range(0, n, 1024):
-            near[at : at + 1024] = np.argsort(squared(centres[at : at + 1024], centres), axis=1)[:, :degree]
+            near[at : at + 1024] = np.argpartition(squared(centres[at : at + 1024], centres), degree - 1, axis=1)[:, :degree]
         self.links = np.concatenate((near, rng.integers(0, n, (n, 4))), axis=1)
         self.entry = rng.permutation(n)[: max(1, min(n, 2 * int(np.sqrt(n)) + 8))]
 
     def search(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(places, distances) of about the nearest ``beam`` centroids of each row, nearest first."""
         n, beam = len(q), min(beam, len(self.centres))
+        if len(self.centres) <= DIRECT or beam * DEGREE >= len(self.centres):
+            return self._direct(q, beam)
         qq = (q * q).sum(axis=1)
 
         def merge(ids, distance, expanded):
@@ -110,6 +129,21 @@ class CentroidGraph:
             ids, distance, expanded = merge(np.concatenate((ids, more), axis=1), np.concatenate((distance, found), axis=1), np.concatenate((expanded, ~np.isfinite(found)), axis=1))
         return ids, np.sqrt(distance)
 
+    def _direct(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of all centroids."""
+        ids, distance = np.empty((len(q), beam), np.int64), np.empty((len(q), beam))
+        turned, square = self.centres.T.astype(np.float32), self.square.astype(np.float32)
+        step = max(1, SCORES // len(self.centres))
+        for at in range(0, len(q), step):
+            part = q[at : at + step]
+            away = square - 2 * (part.astype(np.float32) @ turned)
+            near = np.argpartition(away, beam - 1, axis=1)[:, :beam]
+            own = np.take_along_axis(away, near, axis=1)
+            order = np.argsort(own, axis=1, kind="stable")
+            ids[at : at + step] = np.take_along_axis(near, order, axis=1)
+            distance[at : at + step] = np.sqrt(np.maximum(0.0, np.take_along_axis(own, order, axis=1) + (part * part).sum(axis=1)[:, None]))
+        return ids, distance
+
 
 class Index:
     """Centroids with their graph, the greatest norm, and the ratio that prunes lists."""
@@ -133,15 +167,19 @@ class Index:
             may = (distance[:, j] <= distance[:, 0] * BOUNDARY) & (keep.sum(axis=1) < REPLICAS)
             rows = np.flatnonzero(may)
             for i in range(j):
-                gap = np.sqrt(((centres[ids[rows, i]] - centres[ids[rows, j]]) ** 2).sum(axis=1))
-                rows = rows[~keep[rows, i] | (gap >= distance[rows, j])]
+                has = keep[rows, i]
+                own = rows[has]
+                if len(own):
+                    gap = np.sqrt(((centres[ids[own, i]] - centres[ids[own, j]]) ** 2).sum(axis=1))
+                    has[has] = gap < distance[own, j]
+                    rows = rows[~has]
             keep[rows, j] = True
         row, at = np.nonzero(keep)
         return row, ids[row, at]
 
     def lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) to search: within the ratio of the nearest, and more until they have ``least`` members."""
-        ids, distance = self.graph.search(np.concatenate((q, np.zeros((len(q), 1))), axis=1), self.beam)
+        ids, distance = self.graph.search(np.concatenate((q / self.norm, np.zeros((len(q), 1))), axis=1), self.beam)
         real = np.isfinite(distance)
         held = np.cumsum(np.where(real, sizes[ids], 0), axis=1)
         keep = real & ((distance <= distance[:, :1] * self.ratio) | (np.concatenate((np.zeros((len(q), 1)), held[:, :-1]), axis=1) < least))
@@ -158,8 +196,9 @@ class Index:
         some = rng.choice(len(sample), min(400, len(sample)), replace=False)
         score = sample[some] @ sample.T
         score[np.arange(len(some)), some] = -np.inf
-        best = np.argsort(-score, axis=1)[:, : min(k, max(1, len(sample) - 1))]
-        q = np.concatenate((sample[some], np.zeros((len(some), 1))), axis=1)
+        take = min(k, max(1, len(sample) - 1))
+        best = np.argpartition(-score, take - 1, axis=1)[:, :take]
+        q = np.concatenate((sample[some] / self.norm, np.zeros((len(some), 1))), axis=1)
         row, own = self.postings(sample)
         away = np.sqrt(squared(q, self.graph.centres))
         order = np.argsort(np.argsort(away, axis=1), axis=1)
@@ -174,27 +213,65 @@ class Index:
         self.beam = int(min(len(self.graph.centres), max(self.beam, 1.25 * np.quantile(place, 0.995, method="higher") + 16)))
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int):
-    """(query no, id, score) of each query's k members of largest inner product, ties to the smaller id; not itself."""
-    by = np.argsort(ids, kind="stable")
-    by = by[np.r_[True, ids[by][1:] != ids[by][:-1]]] if len(by) else by
-    members, ids = members[by], ids[by]
-    out = []
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
+def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int, lists: list[tuple[int, int]] = (), wanted: np.ndarray | None = None):
+    """(query no, id, score) of each query's k members of largest inner product, ties to the smaller id; not itself.
+
+    lists: (start, stop) of the members' lists; wanted (query, list): those that a query searches, null: all. Of members that
+    share an id the best counts. Members come out by single precision with room for its error, and are scored in double.
+    """
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    # so many members that k others stay, whatever shares an id
+    take = (k + 1) * int(np.unique(ids, return_counts=True)[1].max(initial=1))
+    scale = max(np.abs(members).max(initial=0.0), 1e-300)
+    small = (members / scale).astype(np.float32)
+    most = np.sqrt((small.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0))
+    step = max(1, SCORES // max(1, len(members)))
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step]
+        unit = q / np.abs(q).max(axis=1, keepdims=True)
+        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        slack = (q.shape[1] + 16) * most * 2.0**-23
+        own = None if wanted is None else wanted[at : at + step]
+        i, j = _above(unit.astype(np.float32), small, take, np.float32(slack), lists, own)
+        if len(i) > 64 * take * len(q):  # single precision tells too little
+            i, j = _above(unit, members / scale, take, 1e-13 * most, lists, own)
+        exact = np.concatenate([np.empty(0), *((q[i[p : p + PAIRS]] * members[j[p : p + PAIRS]]).sum(axis=1) for p in range(0, len(i), PAIRS))])  # the same sum wherever the pair meets
+        other = query_ids[at + i] != ids[j]
+        i, who, exact = i[other], ids[j[other]], exact[other]
+        by = np.lexsort((-exact, who, i))  # the best of an id
+        by = by[np.r_[True, (i[by][1:] != i[by][:-1]) | (who[by][1:] != who[by][:-1])]] if len(by) else by
+        by = by[np.lexsort((who[by], -exact[by], i[by]))]
+        i, who, exact = i[by], who[by], exact[by]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[keep] + at, who[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _above(q: np.ndarray, members: np.ndarray, take: int, slack: float, lists: list[tuple[int, int]], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores that may be among a row's ``take`` greatest; lists that a row does not want are left out."""
+    if wanted is None or wanted.mean() > 0.5:
         score = q @ members.T
-        score[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        take = min(k, len(ids))
+        for n, (lo, hi) in enumerate(lists if wanted is not None else ()):
+            if not wanted[:, n].all():
+                score[~wanted[:, n], lo:hi] = -np.inf
+    else:
+        score = np.full((len(q), len(members)), -np.inf, q.dtype)
+        for n, (lo, hi) in enumerate(lists):
+            rows = np.flatnonzero(wanted[:, n])
+            if len(rows):
+                score[rows, lo:hi] = q[rows] @ members[lo:hi].T
+    # a bound below the last one taken: of the peaks of groups of columns, if they are enough
+    width = score.shape[1]
+    groups = width // STRIDE
+    if groups > 2 * take:
+        peaks = score[:, : groups * STRIDE].reshape(len(score), STRIDE, groups).max(axis=1)
+        last = -np.partition(-peaks, take - 1, axis=1)[:, take - 1]
+    elif width > take:
         last = -np.partition(-score, take - 1, axis=1)[:, take - 1]
-        slack = 1e-12 * (np.abs(q) @ np.abs(members).max(axis=0))
-        i, j = np.nonzero((score >= (last - slack)[:, None]) & (score > -np.inf))
-        exact = (q[i] * members[j]).sum(axis=1)  # the same sum wherever the pair meets
-        by = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[by], j[by], exact[by]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = rank < k
-        out.append((i[keep] + at, ids[j[keep]], exact[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    else:
+        last = np.full(len(score), -np.inf, score.dtype)
+    # a row whose bound is -inf takes all it wants
+    return np.nonzero((score >= (last - slack)[:, None]) & (score > -np.inf))
 
 
 def fit(vectors: DataFrame, rows: int, norm: float, k: int) -> Index:
@@ -218,8 +295,10 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     marked = usable(vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))), id_col, vector_col, "__query")
-    rows = checkpointed(marked.select("id", F.col("label").alias("query"), "v", F.size("v").alias("dim")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    given = vectors.schema[vector_col].dataType.simpleString()
+    kept = F.col("v").cast(given if given == "array<float>" else "array<double>")  # not wider than it came
+    rows = checkpointed(marked.select("id", F.col("label").alias("query"), kept.alias("v"), F.size("v").alias("dim")))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     per = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm")).collect()
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in sorted(per, key=lambda r: r["dim"]):
@@ -237,10 +316,15 @@ def _search(rows: DataFrame, n: int, norm: float, k: int) -> DataFrame:
                 row, own = shared.value.postings(_matrix(pdf["v"]))
                 yield pd.DataFrame({"list": own, "id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
 
-    posted = checkpointed(rows.select("id", "v").mapInPandas(post, "list long, id long, v array<double>"))
+    kind = dict(rows.dtypes)["v"]
+    posted = checkpointed(rows.select("id", "v").mapInPandas(post, f"list long, id long, v {kind}"))
     sizes = posted.groupBy("list").agg(F.count("*").alias("n"))
     held = {r["list"]: r["n"] for r in sizes.collect()}  # one number a list
-    counts = spark.sparkContext.broadcast(np.array([held.get(i, 0) for i in range(max(held) + 1)]) if held else np.zeros(1, np.int64))
+    counts = np.array([held.get(i, 0) for i in range(max(held) + 1)]) if held else np.zeros(1, np.int64)
+    chunk = min(CHUNK, max(LEAST_CHUNK, n // partitions(spark)))
+    shard_of = (np.cumsum(counts) - counts) // chunk
+    first = np.searchsorted(shard_of, np.arange(shard_of[-1] + 1))  # a shard's first list
+    counts, shard_of, first = (spark.sparkContext.broadcast(x) for x in (counts, shard_of, first))
 
     def look(batches):
         for pdf in batches:
@@ -249,32 +333,46 @@ def _search(rows: DataFrame, n: int, norm: float, k: int) -> DataFrame:
                 sizes = np.zeros(len(index.graph.centres), np.int64)
                 sizes[: len(counts.value)] = counts.value
                 row, own = index.lists(_matrix(pdf["v"]), sizes, 2 * k + 1)
-                yield pd.DataFrame({"list": own, "id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
-
-    asked = checkpointed(rows.where("query").select("id", "v").mapInPandas(look, "list long, id long, v array<double>"))
-    tiles = sizes.select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("vc")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("qc")), "list")
-    tiles = sized(checkpointed(tiles), 32)
+                there = sizes[own] > 0
+                row, own = row[there], own[there]
+                shard = shard_of.value[own]
+                by = np.lexsort((own, shard, row))
+                row, own, shard = row[by], own[by], shard[by]
+                cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]) if len(row) else np.empty(0, np.int64)
+                asks = [x.astype(np.int32) for x in np.split(own, cuts[1:])] if len(cuts) else []
+                yield pd.DataFrame({"shard": shard[cuts], "id": pdf["id"].to_numpy()[row[cuts]], "v": pdf["v"].to_numpy()[row[cuts]], "asks": asks})
+
+    asked = checkpointed(rows.where("query").select("id", "v").mapInPandas(look, f"shard long, id long, v {kind}, asks array<int>"))
+    shards = spark.createDataFrame([(i, int(x)) for i, x in enumerate(shard_of.value)], "list long, shard long")
+    posted = posted.join(F.broadcast(shards), "list")  # at most MOST_LISTS rows, about
+    # a list of more than a chunk makes a large shard
+    tiles = posted.groupBy("shard").agg(F.ceil(F.count("*") / (2 * chunk)).cast("int").alias("vc")).join(asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("qc")), "shard")
+    tiles = checkpointed(tiles)
+    work = tiles.agg(F.sum(F.col("vc") * F.col("qc"))).first()[0] or 0
+    tiles = sized(tiles, 32)
     each = lambda side, own, other: (
-        side.join(tiles, "list").withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        side.join(tiles, "shard").withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     )
-    members = each(posted, "vc", "qc").select("list", F.col("mine").alias("v_no"), F.col("theirs").alias("q_no"), F.lit(False).alias("asks"), "id", "v")
-    queries = each(asked, "qc", "vc").select("list", F.col("theirs").alias("v_no"), F.col("mine").alias("q_no"), F.lit(True).alias("asks"), "id", "v")
-    buckets = partitions(spark, 2 * n, 20_000)
-    both = members.union(queries).withColumn("bucket", F.pmod(F.xxhash64("list", "v_no", "q_no"), F.lit(buckets)).cast("int"))
+    members = each(posted, "vc", "qc").select("shard", F.col("mine").alias("v_no"), F.col("theirs").alias("q_no"), F.array(F.col("list").cast("int")).alias("asks"), F.lit(False).alias("query"), "id", "v")
+    queries = each(asked, "qc", "vc").select("shard", F.col("theirs").alias("v_no"), F.col("mine").alias("q_no"), "asks", F.lit(True).alias("query"), "id", "v")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})]
-        for _, tile in pdf.groupby(["list", "v_no", "q_no"], sort=True):
-            asks = tile["asks"].to_numpy(bool)
-            if asks.any() and not asks.all():
-                who = tile["id"].to_numpy()
-                i, j, s = nearest(_matrix(tile["v"][asks]), who[asks], _matrix(tile["v"][~asks]), who[~asks], k)
-                found.append(pd.DataFrame({"query_id": who[asks][i], "vec_id": j, "score": s}))
-        found = pd.concat(found).drop_duplicates(["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        found = found.drop_duplicates(["query_id", "vec_id"])
-        return found.groupby("query_id").head(k)
-
-    found = both.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(score, "query_id long, vec_id long, score double")
+        asks = pdf["query"].to_numpy(bool)
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        low = first.value[pdf["shard"].iloc[0]]
+        lists = np.concatenate(pdf["asks"][~asks].to_numpy()) - low
+        by = np.argsort(lists, kind="stable")
+        lists = lists[by]
+        cuts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        wants = pdf["asks"][asks].to_numpy()
+        wanted = np.zeros((len(wants), len(shard_of.value) - low), bool)
+        wanted[np.repeat(np.arange(len(wants)), [len(x) for x in wants]), np.concatenate(wants) - low] = True
+        who, v = pdf["id"].to_numpy(), pdf["v"]
+        i, j, s = nearest(_matrix(v[asks]), who[asks], _matrix(v[~asks])[by], who[~asks][by], k, list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(lists)])), wanted[:, lists[cuts]])
+        return pd.DataFrame({"query_id": who[asks][i], "vec_id": j, "score": s})
+
+    found = members.union(queries).repartition(max(partitions(spark, 2 * n, 50_000), 2 * work), "shard", "v_no", "q_no").groupBy("shard", "v_no", "q_no").applyInPandas(score, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

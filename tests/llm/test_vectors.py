@@ -125,6 +125,43 @@ def test_large_lists_are_dealt_in_chunks(spark, monkeypatch):
     assert len(found) == 15 * 20 and not found.duplicated(["query_id", "vec_id"]).any()
 
 
+def test_of_rows_that_share_an_id_the_best_counts(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [9.0, 0.0], 0), (1, [2.0, 0.0], 0), (2, [3.0, 0.0], 0), (20, [1.0, 0.0], 0)]
+    found = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 9.0), (2, 3.0)]
+
+
+@pytest.mark.parametrize("share, size", [(0.2, 1.0), (0.9, 1e30)])
+def test_nearest_in_the_lists_that_a_query_wants(share, size):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((3000, 8)) * size
+    v[100:160] = v[100]
+    ids = rng.permutation(3000) // 2  # each id twice
+    lists = [(at, at + 100) for at in range(0, 3000, 100)]
+    wanted = rng.random((40, 30)) < share
+    i, j, s = ann.nearest(v[:40], ids[:40], v, ids, 20, lists, wanted)
+    for n in range(40):
+        best = {}
+        for c in np.flatnonzero(np.repeat(wanted[n], 100) & (ids != ids[n])).tolist():
+            best[ids[c]] = max(best.get(ids[c], -np.inf), (v[n] * v[c]).sum())
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert list(zip(j[i == n], s[i == n])) == want
+
+
+def test_a_walk_and_all_distances_find_the_same_centroids(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres, q = rng.standard_normal((600, 6)), rng.standard_normal((50, 6))
+    direct = ann.CentroidGraph(centres, rng).search(q, 16)
+    monkeypatch.setattr(ann, "DIRECT", 100)
+    walked = ann.CentroidGraph(centres, rng).search(q, 16)
+    assert np.mean([len(set(a) & set(b)) / 16 for a, b in zip(direct[0], walked[0])]) > 0.95
+    assert (direct[0] == squared_order(q, centres, 16)).all() and np.allclose(direct[1], np.sqrt(np.take_along_axis(ann.squared(q, centres), direct[0], axis=1)), atol=1e-5)
+
+
+def squared_order(q, centres, k):
+    return np.argsort(ann.squared(q, centres), axis=1)[:, :k]
+
+
 @pytest.mark.parametrize("native", [False, True])
 def test_components_of_random_graphs_and_chains(spark, native):
     rng = random.Random(0)
