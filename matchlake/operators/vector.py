@@ -100,9 +100,34 @@ def fuse_models(primary: DataFrame, secondary: DataFrame, weight: float = 0.5) -
 
 
 def rescore(candidates: DataFrame, queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Exact best score over all gallery rows of each candidate (query_id, entity)."""
-    rows = candidates.select("query_id", "entity").distinct().join(queries.select("query_id", F.col("v").alias("q")), "query_id").join(gallery, "entity")
-    return rows.where(F.col("item") != F.col("query_id")).groupBy("query_id", "entity").agg(F.max(F.round(dot(F.col("q"), F.col("v")), 6)).alias("score"))
+    """Exact best score over all gallery rows of each candidate (query_id, entity).
+
+    An entity's items are dealt into tiles of about TILE rows, the queries that ask for it into larger ones; each pair of
+    tiles is one matrix product.
+    """
+    nq = max(1, -(-queries.count() // (4 * TILE)))
+    v = F.col("v").cast("array<double>").alias("v")
+    tiles = gallery.groupBy("entity").agg(F.ceil(F.count("*") / TILE).cast("int").alias("ng"))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = candidates.select(F.col("query_id").alias("id"), "entity").distinct().join(queries.select(F.col("query_id").alias("id"), v), "id")
+    q = asked.join(tiles, "entity").withColumn("qt", part(F.lit(nq))).withColumn("gt", every(F.col("ng"))).drop("ng")
+    g = gallery.select("entity", F.col("item").alias("id"), v).join(tiles, "entity").withColumn("gt", part(F.col("ng"))).withColumn("qt", every(F.lit(nq))).drop("ng")
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "entity": np.empty(0, np.int64), "score": np.empty(0)})
+        ids, item = left["id"].to_numpy(), right["id"].to_numpy()
+        vectors, best = np.stack(right["v"].to_numpy()).T, np.empty(len(left))
+        for part in range(0, len(left), 256):
+            s = np.stack(left["v"].iloc[part : part + 256].to_numpy()) @ vectors
+            s[ids[part : part + 256, None] == item[None, :]] = -np.inf
+            best[part : part + 256] = s.max(axis=1)
+        return pd.DataFrame({"query_id": ids, "entity": left["entity"].to_numpy(), "score": best})[best > -np.inf]
+
+    found = q.groupBy("entity", "qt", "gt").cogroup(g.groupBy("entity", "qt", "gt")).applyInPandas(product, "query_id long, entity long, score double")
+    # rounding keeps the order, so the greatest is rounded last
+    return found.groupBy("query_id", "entity").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def lsh_candidates(queries: DataFrame, gallery: DataFrame, dim: int, bits: int = 12, bands: int = 8, seed: int = 3) -> DataFrame:

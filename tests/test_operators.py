@@ -33,6 +33,19 @@ def test_fused_models_default_to_each_other(spark):
     assert [round(r["score"], 6) for r in found] == [0.75, 0.83, 0.4]
 
 
+def test_rescore_is_that_of_all_pairs_without_a_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(vector, "TILE", 4)
+    rng = np.random.default_rng(1)
+    v, entity = rng.standard_normal((60, 8)), rng.integers(0, 3, 60)
+    entity[59] = 9  # an entity whose only item is the query's own
+    gallery = spark.createDataFrame([(int(entity[i]), i, v[i].tolist()) for i in range(60)], "entity long, item long, v array<double>")
+    asked = [(q, int(e)) for q in range(60) for e in rng.choice(3, 2, replace=False)] + [(59, 9), (5, 9), (5, 7)]
+    found = vector.rescore(spark.createDataFrame(asked * 2, "query_id long, entity long"), gallery.select(F.col("item").alias("query_id"), "v"), gallery)
+    want = {(q, e): round(max(v[q] @ v[i] for i in range(60) if entity[i] == e and i != q), 6) for q, e in asked if any(entity[i] == e and i != q for i in range(60))}
+    assert {(r["query_id"], r["entity"]): r["score"] for r in found.collect()} == want and (59, 9) not in want and (5, 7) not in want
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+
+
 def test_top_entities_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vector, "TILE", 16)
     rng = np.random.default_rng(0)
