@@ -7,11 +7,16 @@ pairs within that radius are compared: numpy exclusive-or and bit counts, every
 candidate left out. Of the pairs that a task finds near it gives those that connect them, nearest first, so a
 family of near copies gives about as many links as members. More documents mean more parts a word is counted in, and so more and
 finer tiles.
+
+With a wide radius, tiles would compare nearly all pairs. Where a link asks for a Jaccard similarity as well, that one
+says which fingerprints to compare: two sets that reach it have a shingle in common among the first of each in the order
+of their hashes (as many as may differ, and one), so fingerprints are joined on these. No pair that would link is left out.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,6 +31,9 @@ from matchlake.llm._common import as_batch, checkpointed, connected_components,
 CHUNK, BLOCK = 16_384, 2 << 20
 _SEED = 42
 _ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_SKETCHED = pa.schema([*_ARROW, ("least", pa.list_(pa.int64()))])
+#: Fingerprints that share a shingle and are compared in all their pairs; more are compared with one of them first.
+FEW = 64
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -33,22 +41,53 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
     Fewer words: the whole sequence is the one shingle. No word or null: zero.
     """
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    return _signed(_shingles((text or "").encode("utf-8", "replace").lower(), words))
+
+
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; no word: none."""
+    tokens = text.split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     flat = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     k = min(words, len(tokens))
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[i:j], _SEED) for i, j in zip(starts, stops)], dtype="<u8")
+    return np.array([digest(flat[i:j], _SEED) for i, j in zip(starts, stops)], dtype="<u8")
+
+
+def _signed(hashes: np.ndarray) -> int:
+    """The word whose bits are 1 where they are in over half of the hashes; of no hash zero."""
     counts = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[part : part + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def first_shingles(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least distinct hashes, so many that two sets with a Jaccard similarity of ``similarity`` have one of them in common."""
+    own = np.unique(hashes)
+    return own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, least) for every row: fingerprints, and the first shingles of the texts in lower case (all letters, as similar() has them)."""
+
+    def sketch(text: str | None):
+        plain, lower = (text or "").encode("utf-8", "replace").lower(), (text or "").lower().encode("utf-8", "replace")
+        hashes = _shingles(plain, words)
+        return _signed(hashes), first_shingles(hashes if plain == lower else _shingles(lower, words), similarity).view(np.int64)
+
+    def run(batches):
+        for batch in pieces(batches):
+            fps, least = zip(*map(sketch, batch.column(1).to_pylist()))
+            yield as_batch(_SKETCHED, batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64())))
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, least array<long>")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; null texts have fingerprint zero, null ids stay null."""
 
@@ -149,6 +188,61 @@ def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words
     return both.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common")) - 1e-9).select("a", "b")
 
 
+def similar_links(keyed: DataFrame, nodes: DataFrame, radius: int, check) -> DataFrame:
+    """Pairs (a, b) of rows of ``nodes`` (fp, rep) that connect all pairs of fps at most ``radius`` bits apart which share a key of
+    ``keyed`` (key, fp; distinct) and pass ``check``, a function from pairs of reps to those that hold.
+
+    Of keys with the same fps one speaks for all. Keys of over FEW fps give pairs with one of them; after that only fps that are
+    in different groups are compared.
+    """
+    spark = keyed.sparkSession
+    name = lambda side: nodes.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep"))
+
+    def holding(pairs: DataFrame) -> DataFrame:
+        """Of pairs of fps, those of reps that hold."""
+        named = checkpointed(pairs.distinct()).join(name("a"), "a").join(name("b"), "b")
+        return checkpointed(check(named.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs within the radius whose ``own`` differs, of all that share a key; of a key with a pivot and no groups yet, pairs with the greatest."""
+        pdf = pdf.sort_values(["key", "fp"], kind="stable")
+        key, fp, own, star = (pdf[c].to_numpy() for c in ("key", "fp", "own", "star"))
+        bits = fp.view(np.uint64)
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        left, right = [fp[:0]], [fp[:0]]
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(fp)]):
+            _, of, size = np.unique(own[lo:hi], return_inverse=True, return_counts=True)
+            # one of a pair is outside the largest group
+            out = np.array([hi - 1]) if star[lo] else lo + np.flatnonzero(of != size.argmax())
+            step = max(1, BLOCK // (hi - lo))
+            for at in range(0, len(out), step):
+                rows = out[at : at + step]
+                i, j = np.nonzero((np.bitwise_count(bits[rows, None] ^ bits[None, lo:hi]) <= radius) & (own[rows, None] != own[None, lo:hi]))
+                left.append(fp[rows[i]])
+                right.append(fp[lo + j])
+        left, right = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}).drop_duplicates()
+
+    def compared(rows: DataFrame) -> DataFrame:
+        buckets = partitions(spark, rows.count())
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets * 4)).cast("int"))
+        return rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "a long, b long")
+
+    sign = [F.bit_xor(F.xxhash64(F.lit(no), "fp")).alias(f"sign{no}") for no in (1, 2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("fp").alias("a"), F.max("fp").alias("b"), *sign).where("members > 1")
+    shared = checkpointed(shared.groupBy("members", "a", "b", "sign1", "sign2").agg(F.min("key").alias("key")))
+    more = checkpointed(shared.where("members > 2").select("key", (F.col("members") > FEW).alias("star")))
+    members = checkpointed(keyed.join(sized(more, 16), "key"))
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    first = holding(shared.where("members = 2").select("a", "b").where(close).unionByName(compared(members.select("key", "fp", F.col("fp").alias("own"), "star"))))
+    hot = members.where("star")
+    if hot.isEmpty():
+        return first
+    groups = connected_components(first).select(F.col("node").alias("rep"), "component")
+    own = nodes.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("own"))
+    return first.unionByName(holding(compared(checkpointed(hot.select("key", "fp").join(own, "fp").select("key", "fp", "own", F.lit(False).alias("star"))))))
+
+
 def tile_of(fp: np.ndarray, parts: int) -> np.ndarray:
     width, out = 64 // parts, np.zeros(len(fp), np.int64)
     mask = np.uint64((1 << width) - 1)
@@ -173,12 +267,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them. Repeated rows come back repeated; a null id takes part with its text but
     names no group (a group of null ids only has component null). Other columns are ignored.
     With a ``similarity``, links between different fingerprints hold only if the texts' exact Jaccard similarity of
-    shingles reaches it.
+    shingles reaches it; all such links are found.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, words))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    fps = checkpointed(fingerprints(docs, id_col, text_col, words) if similarity is None else sketches(docs, id_col, text_col, words, similarity))
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     n = nodes.count()
-    near = links(nodes.where("rep IS NOT NULL"), n, radius)
-    groups = connected_components(near if similarity is None else similar(near, docs, id_col, text_col, words, similarity))
+    named = nodes.where("rep IS NOT NULL").select("fp", "rep")
+    if similarity is None:
+        near = links(named, n, radius)
+    else:
+        # of rows with one fingerprint the first speaks for all
+        several = sized(checkpointed(nodes.where("rows > 1").select("fp", "rep")), 24)
+        own = fps.where("doc_id IS NOT NULL").join(several, "fp", "left_anti").select("fp", "least").union(fps.join(several, "fp").where("doc_id = rep").select("fp", "least").dropDuplicates(["fp"]))
+        near = similar_links(own.select(F.explode("least").alias("key"), "fp"), named, radius, lambda pairs: similar(pairs, docs, id_col, text_col, words, similarity))
+    groups = connected_components(near)
     nodes = nodes.join(groups, nodes["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(sized(nodes, 48, n), "fp").select("doc_id", "fp", "component_id")

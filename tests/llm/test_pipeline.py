@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlake.llm import queries
+from matchlake.llm import queries, simhash
 
 pytest.importorskip("public_tokenizers")
 WORDS = "the of and to in a is that for it as was with be by on not he his but at are this have from or had".split()
@@ -90,6 +90,50 @@ def test_near_dedup_is_that_of_exact_jaccard(spark):
     assert kept >= {*range(20), *range(200, 220)} and len(kept) <= 42
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_near_groups_are_those_of_all_pairs_without_comparing_all(spark, monkeypatch, few):
+    # families of changed copies, and a passage that unlike texts share
+    rng = random.Random(3)
+    text = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(n)]
+    rows, passage = [], text(12)
+    for _ in range(6):
+        base = text(rng.randint(30, 90))
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(["É1", "new"])
+            rows.append(" ".join(own))
+            base = own if rng.random() < 0.3 else base
+    rows += [" ".join(passage + text(40)) for _ in range(12)] + ["one two", "ONE two", "one  É1", "one é1"]
+    rows = list(enumerate(rows))
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, prints = [shingles(t) for _, t in rows], [simhash.fingerprint(t, 5) for _, t in rows]
+    first = {f: prints.index(f) for f in prints}
+    above = list(range(len(rows)))
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i, _ in rows:
+        for j in range(i):
+            x, y = first[prints[i]], first[prints[j]]
+            near = (prints[i] ^ prints[j]).bit_count() <= 12 and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9
+            if near or x == y:
+                a, b = sorted((root(i), root(j)))
+                above[b] = a
+    monkeypatch.setattr(simhash, "FEW", few, raising=False)
+    monkeypatch.setattr(simhash, "links", lambda *_: pytest.fail("compares fingerprints in all their pairs"))
+    found = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=5, radius=12, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: root(i) for i, _ in rows}
+    assert 6 < len({root(i) for i, _ in rows}) < 70
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
