@@ -278,6 +278,33 @@ def test_line_links_are_those_of_all_pairs(spark, monkeypatch):
     assert {r["doc_id"] for r in found if r["removed"]} == {i for i in range(len(rows)) if root(i) != i}
 
 
+def test_common_words_are_counted_over_all_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"often {prose(rng, 3)} x{i}.{n} y{i}.{n}" for n in range(20))) for i in range(60)]
+    texts = lines._texts(table(spark, rows), "doc_id", "text")
+    h = spark.range(1).select(F.xxhash64(F.lit("often"))).first()[0]
+    assert lines.common_words(texts)[0] == h % lines.WORD_CLASSES
+
+
+def test_links_of_large_blocks_and_each_pair_once(spark, monkeypatch):
+    # families that go on changing, in blocks of which all are large: their pairs are looked at once and none is left out
+    monkeypatch.setattr(lines, "FEW", 1)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(5):
+        own = [f"{w}{rng.randrange(9)}" for w in prose(rng, 20).split()]
+        for _ in range(12):
+            own = list(own)
+            own[rng.randrange(20)] = f"new{rng.randrange(99)}"
+            rows.append(" ".join(own))
+    seen, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: seen.append(pairs) or verified(pairs, *a))
+    found = lines.dedup_lines(table(spark, list(enumerate(rows)))).collect()
+    assert [r["doc_id"] for r in found if not r["removed"]] == [0, 12, 24, 36, 48]
+    assert len(seen) == 2 and seen[1].count() == seen[1].distinct().count() > 0
+    assert "array_intersect" in seen[1]._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
