@@ -31,8 +31,8 @@ CLASSES, CLASS_WORDS, TAILS = 64, 64, 32
 COMMON = CLASSES * CLASS_WORDS
 #: Most frequent words whose counts every task has at hand; the counts of the rest are joined.
 AT_HAND = 65_536
-#: Rounds of training, and the share of the training texts that each round sees, by a hash of the id.
-ROUNDS, SHARE = 2, 4
+#: Rounds of training, and the share of the training texts that each round sees, by a hash of the id: all are seen once.
+ROUNDS, SHARE = 2, 2
 #: Training tokens of a task, about; bytes of text that are trained on at a time; floats of a block of weights that is averaged.
 TASK_TOKENS, PIECE, BLOCK = 1_000_000, 4 << 20, 1024
 HIDDEN, EMBED, LANES, WINDOW = 32, 24, 256, 16

@@ -601,6 +601,10 @@ def test_scores_are_the_models_probabilities(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_every_training_text_is_trained_on():
+    assert {no % gru.SHARE for no in range(gru.ROUNDS)} == set(range(gru.SHARE))
+
+
 def test_scores_without_training_rows(spark):
     found = gru.score_documents(table(spark, [(1, "a b"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
