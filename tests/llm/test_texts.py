@@ -305,6 +305,39 @@ def test_links_of_large_blocks_and_each_pair_once(spark, monkeypatch):
     assert "array_intersect" in seen[1]._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
 
 
+def test_only_near_pairs_leave_the_join_of_a_large_block(spark, monkeypatch):
+    # lines that agree in most of their first words but are not near, in blocks of which all are large
+    monkeypatch.setattr(lines, "FEW", 1)
+    rng = random.Random(5)
+    base = [f"stem{i}" for i in range(40)]
+    rows = [" ".join(w if rng.random() < 0.7 else f"new{rng.randrange(9999)}" for w in base) for _ in range(30)]
+    seen, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: seen.append(verified(pairs, *a)) or seen[-1])
+    found = lines.dedup_lines(table(spark, list(enumerate(rows)))).collect()
+    assert not any(r["removed"] for r in found)
+    joined = seen[1]._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+    assert "levenshtein" in joined and seen[1].count() == 0
+
+
+def test_keyed_lines_are_the_block_keys(spark):
+    rng = random.Random(6)
+    rows = [(i, n, sorted(rng.sample(range(10**6), min(n, 12, rng.randint(1, 20))))) for i, n in enumerate([*range(5, 40)] * 3)]
+    own = spark.createDataFrame(rows, "id long, n int, least array<int>")
+    want = own.select("id", F.explode(lines.block_keys()).alias("key"))
+    assert sorted(map(tuple, lines.keyed_lines(own, "id").select("id", "key").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_words_are_counted_if_blocks_are_crowded(spark, monkeypatch):
+    counted, count = [], lines.common_words
+    monkeypatch.setattr(lines, "common_words", lambda texts: counted.append(1) or count(texts))
+    rng = random.Random(7)
+    apart = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(60)]
+    assert not any(r["removed"] for r in lines.dedup_lines(table(spark, apart)).collect()) and not counted
+    often = [f"often{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.sample(own := [*often, *(f"w{rng.randrange(10**6)}" for _ in range(4))], len(own)))) for i in range(60)]
+    assert not any(r["removed"] for r in lines.dedup_lines(table(spark, rows)).collect()) and counted
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
