@@ -12,14 +12,14 @@ scored the state is carried from its first token to its end, whatever its length
 from __future__ import annotations
 
 import copy
+import functools
 import heapq
-import itertools
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ ROUNDS, SHARE = 2, 2
 #: Training tokens of a task, about; bytes of text that are trained on at a time; floats of a block of weights that is averaged.
 TASK_TOKENS, PIECE, BLOCK = 1_000_000, 4 << 20, 1024
 HIDDEN, EMBED, LANES, WINDOW = 32, 24, 256, 16
+#: Weights that are updated at a time: their gradient and means stay in the cache.
+ADAM_BLOCK = 32_768
 #: Updates that a piece of text is trained in at least, by fewer lanes.
 UPDATES = 64
 
@@ -49,38 +51,82 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
-def _log_softmax(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of each row of logits + bias at one place; works in place.
+@functools.cache
+def _tail_tables() -> tuple[np.ndarray, np.ndarray]:
+    """tail_of by a word's only byte, and by its last two."""
+    ends = [bytes((a, b)) for a in range(256) for b in range(256)]
+    return np.array([tail_of(w[:1]) for w in ends[::256]], np.int32), np.array([tail_of(w) for w in ends], np.int32)
 
-    One peak serves all rows; rows that it would wipe out are done with their own.
+
+def tails_of(words: pa.Array) -> np.ndarray:
+    """tail_of each word; none is empty."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last, one, two = data[ends[1:] - 1].astype(np.int32), *_tail_tables()
+    return np.where(np.diff(ends) > 1, two[data[np.maximum(ends[1:] - 2, 0)].astype(np.int32) * 256 + last], one[last])
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, owner, sizes): the words that ``tokens`` gives of all texts, end to end and without ends, the place of each one's text, and each text's number of tokens."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+    words = parts.flatten().view(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty word there
+    if not pc.all(full, min_count=0).as_py():
+        words, owner = words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+    return words, owner, np.bincount(owner, minlength=len(texts)) + 1
+
+
+def places_in(words: pa.Array, hand: pa.Array) -> np.ndarray:
+    """The place of each word in ``hand``; -1: in none."""
+    return pc.fill_null(pc.index_in(words, hand), -1).to_numpy(zero_copy_only=False)
+
+
+def sequences(words: pa.Array, owner: np.ndarray, sizes: np.ndarray, place: np.ndarray, model_ids: np.ndarray) -> list[np.ndarray]:
+    """The model's ids of each text; model_ids: by place, with one more at the end. A word in no place has its tail class."""
+    ids = model_ids[place]
+    away = np.flatnonzero(place < 0)
+    ids[away] = COMMON + tails_of(words.take(pa.array(away)))
+    out = np.zeros(int(sizes.sum()), np.int32)  # the end has id 0
+    out[np.arange(len(ids)) + owner] = ids
+    return np.split(out, np.cumsum(sizes)[:-1])
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights with the biases as a last column, less the most that a logit can be after ``states``; whether rows need their own peaks all the same).
+
+    weights: (..., words, HIDDEN). With that bound no row's peak is looked for, unless exp might wipe a whole row out.
     """
-    logits += bias
-    logits -= logits.max()
+    span = np.sqrt(np.einsum("...i,...i->...", weights, weights) * np.einsum("ij,ij->i", states, states).max(initial=0))
+    top = (bias + span).max(axis=-1, keepdims=True)
+    return np.concatenate((weights, (bias - top)[..., None]), axis=-1), top[..., 0] - (bias - span).max(axis=-1) > 60
+
+
+def _log_softmax(logits: np.ndarray, far: bool, at: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at one place; works in place. far: rows need their own peaks."""
+    if far:
+        logits -= logits.max(axis=1, keepdims=True)
     out = logits[np.arange(len(at)), at]
-    far = np.flatnonzero(logits.max(axis=1) < -60) if len(logits) and float(logits.min()) < -60 else ()
-    if len(far):
-        peaks = logits[far].max(axis=1)
-        logits[far] -= peaks[:, None]
-        out[far] -= peaks
     np.exp(logits, out=logits)
-    return out - np.log(logits.sum(axis=1))
+    return out - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
-def _soft_error(logits: np.ndarray, bias: np.ndarray, at: np.ndarray, each: np.float32) -> np.ndarray:
-    """Softmax of logits + bias less the target, times ``each``; works in place."""
-    logits += bias
-    # one peak serves all rows unless it would wipe some out
-    peak = logits.max()
-    if float(logits[:, int(bias.argmax())].min()) > float(peak) - 60:
-        logits -= peak
-    else:
-        logits -= logits.max(axis=1, keepdims=True)
+def _soft_error(logits: np.ndarray, at: np.ndarray, each: np.float32) -> np.ndarray:
+    """Softmax of each row less the target, times ``each``; works in place."""
     np.exp(logits, out=logits)
-    logits *= each / (logits @ np.ones((logits.shape[1], 1), np.float32))
+    logits *= each / (logits @ np.ones((logits.shape[1], 1), logits.dtype))
     logits[np.arange(len(at)), at] -= each
     return logits
 
 
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places of common words in the order of their classes, and where each class begins."""
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=CLASSES)[:CLASSES])))
+    return np.argsort(cls.astype(np.uint8), kind="stable")[: cuts[-1]], cuts.tolist()
+
+
 class GatedLM:
     """Gated recurrent unit over input ids; output: a class, then a word of a common class."""
 
@@ -102,23 +148,40 @@ class GatedLM:
     # ids: 0..COMMON-1 common words, then tail classes; a text's input begins with the end token.
 
     def _step(self, gx, h):
-        gh = h @ self.p["Wh"]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gx[:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-        return z, r, n, gh[:, 2 * HIDDEN :], n + z * (h - n)
+        # states lie unit by unit, the lanes of a unit side by side: its gates are contiguous
+        gh = (self.p["Wh"].T @ h.T).T
+        zr = gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, ghn = zr[:, :HIDDEN], zr[:, HIDDEN:], gh[:, 2 * HIDDEN :]
+        n = r * ghn
+        n += gx[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return z, r, n, ghn, after
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each id (a tail id: of its class) after the states ``h``."""
         common = ids < COMMON
         cls = np.where(common, ids // CLASS_WORDS, ids - COMMON + CLASSES)
-        out = _log_softmax(h @ self.p["Wc"], self.p["bc"], cls).astype(np.float64)
-        by = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[by], np.arange(CLASSES + 1))
+        rows = np.ones((len(h), HIDDEN + 1), h.dtype)
+        rows[:, :HIDDEN] = h
+        weights, far = _bounded(self.p["Wc"].T, self.p["bc"], rows[:, :HIDDEN])
+        out = np.empty(len(ids))
+        for at in range(0, len(ids), 2048):  # as many as stay in the cache
+            out[at : at + 2048] = _log_softmax(rows[at : at + 2048] @ weights.T, far, cls[at : at + 2048])
+        by, cuts = _by_class(cls)
+        rows, words = rows[by], (ids % CLASS_WORDS)[by]
+        weights, far = _bounded(self.p["U"], self.p["bu"], rows[:, :HIDDEN])
+        found = np.empty(len(by))
         for k in range(CLASSES):
-            own = by[cuts[k] : cuts[k + 1]]
-            if len(own):
-                out[own] += _log_softmax(h[own] @ self.p["U"][k].T, self.p["bu"][k], ids[own] % CLASS_WORDS)
+            lo, hi = cuts[k], cuts[k + 1]
+            if hi > lo:
+                found[lo:hi] = _log_softmax(rows[lo:hi] @ weights[k].T, far[k], words[lo:hi])
+        out[by] += found
         return out
 
     def score(self, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -139,31 +202,31 @@ class GatedLM:
         line.sort(key=lambda x: -sum(len(texts[i]) for i in x))
         sizes = np.array([sum(len(texts[i]) for i in x) for x in line])
         steps = int(sizes[0])
-        ids = np.zeros((len(line), steps), np.int32)
-        owner = np.zeros((len(line), steps), np.int32)
-        fresh = np.zeros((len(line), steps), bool)
+        ids = np.zeros((steps, len(line)), np.int32)
+        owner = np.zeros((steps, len(line)), np.int32)
+        fresh = np.zeros((steps, len(line)), bool)
         for lane, x in enumerate(line):
             at = 0
             for i in x:
                 n = len(texts[i])
-                ids[lane, at : at + n], owner[lane, at : at + n], fresh[lane, at] = texts[i], i, True
+                ids[at : at + n, lane], owner[at : at + n, lane], fresh[at, lane] = texts[i], i, True
                 at += n
-        table = self.p["E"] @ self.p["Wx"] + self.p["b"]
-        h = np.zeros((len(line), HIDDEN), np.float32)
+        table, weights = np.concatenate((self.p["E"], np.ones((len(self.p["E"]), 1), np.float32)), axis=1), np.concatenate((self.p["Wx"], self.p["b"][None]))
+        h = np.zeros((HIDDEN, len(line)), np.float32).T
         before = np.zeros(len(line), np.int32)  # the end token has id 0
         states, wants, owners, held = [], [], [], 0
-        for t in range(steps):
-            live = int(np.searchsorted(-sizes, -t, side="left"))  # lanes that are longer than t
-            new = fresh[:live, t]
-            h = h[:live]
+        lives = np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()  # lanes that are longer than t
+        for t, live in enumerate(lives):
+            new = fresh[t, :live]
+            h, before = h[:live], before[:live]
             if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-                before = np.where(new, 0, before[:live])
-            h = self._step(table[before[:live]], h)[4]
-            before = ids[:live, t]
+                h = np.where(new, np.float32(0), h.T).T
+                before = np.where(new, 0, before)
+            h = self._step((weights.T @ table[before].T).T, h)[4]
+            before = ids[t, :live]
             states.append(h)
             wants.append(before)
-            owners.append(owner[:live, t])
+            owners.append(owner[t, :live])
             held += live
             # as many states at a time as full lanes have in a window: a long text's few lanes take more steps
             if held >= lanes * window or t + 1 == steps:
@@ -174,10 +237,11 @@ class GatedLM:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)])
 
-    def load(self, weights: np.ndarray) -> None:
+    def load(self, weights: np.ndarray, shared: bool = False) -> None:
+        """shared: the model's weights are parts of ``weights`` and change with them."""
         at = 0
         for k in sorted(self.p):
-            self.p[k] = weights[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            self.p[k] = weights[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32, copy=not shared)
             at += self.p[k].size
 
     def train(self, texts: list[np.ndarray], epochs: int = 1, rate: float = 4e-3, lanes: int = LANES, window: int = WINDOW, seed: int = 0) -> None:
@@ -186,10 +250,12 @@ class GatedLM:
         if not texts:
             return
         rng = np.random.default_rng(seed)
+        w = self.flat()
         if not hasattr(self, "adam"):
-            self.adam = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, [0]
+            self.adam = np.zeros_like(w), np.zeros_like(w), [0]
         first, second, updates = self.adam
-        scratch = {k: np.empty_like(v) for k, v in self.p.items()}
+        room = np.empty(min(len(w), ADAM_BLOCK), np.float32)
+        self.load(w, shared=True)
         for _ in range(epochs):
             stream = np.concatenate([texts[i] for i in rng.permutation(len(texts))])
             lanes_ = max(1, min(lanes, len(stream) // (window * UPDATES)))
@@ -201,78 +267,103 @@ class GatedLM:
             for at in range(0, width, window):
                 g, h = self._gradient(given[:, at : at + window], target[:, at : at + window], h)
                 updates[0] += 1
-                norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+                flat = np.concatenate([g[k].reshape(-1) for k in sorted(g)])
                 a, b = 1 - 0.9 ** updates[0], 1 - 0.99 ** updates[0]
-                for k, x in g.items():
-                    by = np.float32(min(1.0, 5.0 / (norm + 1e-12)))
-                    m, v, room = first[k], second[k], scratch[k]
+                by = 0.1 * min(1.0, 5.0 / (math.sqrt(float(np.vdot(flat, flat))) + 1e-12))
+                for lo in range(0, len(w), ADAM_BLOCK):
+                    part = slice(lo, lo + ADAM_BLOCK)
+                    x, m, v = flat[part], first[part], second[part]
+                    x *= np.float32(by)
                     m *= np.float32(0.9)
-                    v *= np.float32(0.99)
-                    np.multiply(x, x, out=room)
-                    room *= np.float32(0.01) * by * by
-                    v += room
-                    x *= np.float32(0.1) * by
                     m += x
-                    np.multiply(v, np.float32(1 / b), out=room)
-                    np.sqrt(room, out=room)
-                    room += np.float32(1e-6)
-                    np.divide(m, room, out=room)
-                    room *= np.float32(rate / a)
-                    self.p[k] -= room
+                    # 0.1 squared is the share of the new square
+                    x *= x
+                    v *= np.float32(0.99)
+                    v += x
+                    own = np.sqrt(v, out=room[: len(v)])
+                    own += np.float32(1e-6 * math.sqrt(b))
+                    np.divide(m, own, out=own)
+                    own *= np.float32(rate * math.sqrt(b) / a)
+                    w[part] -= own
 
     def _gradient(self, given: np.ndarray, target: np.ndarray, h: np.ndarray):
-        p = self.p
+        p, kind = self.p, self.p["Wh"].dtype
         lanes, steps = given.shape
-        kept, after_each = [], []
+        ids = given.T.reshape(-1)
+        x = p["E"][ids].reshape(steps, lanes, EMBED)
+        gx = p["Wx"].T @ x.transpose(0, 2, 1)  # of each step: units, then lanes
+        gx += p["b"][:, None]
+        begins = given == 0  # a text begins: its state is clear
+        kept, flat = [], np.ones((steps, lanes, HIDDEN + 1), kind)
+        h = np.asfortranarray(h)
         for t in range(steps):
-            x = p["E"][given[:, t]]
-            new = (given[:, t] == 0)[:, None]  # a text begins: its state is clear
-            h = np.where(new, np.float32(0), h)
-            z, r, n, ghn, after = self._step(x @ p["Wx"] + p["b"], h)
-            kept.append((x, h, z, r, n, ghn, new))
-            after_each.append(after)
-            h = after
-        flat, want = np.concatenate(after_each), target.T.reshape(-1)
-        common = want < COMMON
-        cls = np.where(common, want // CLASS_WORDS, want - COMMON + CLASSES)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+            new = begins[:, t] if begins[:, t].any() else None
+            if new is not None:
+                h = np.where(new, np.float32(0), h.T).T
+            z, r, n, ghn, after = self._step(gx[t].T, h)
+            kept.append((h.T, z.T, r.T, n.T, ghn.T, new))
+            flat[t, :, :HIDDEN] = h = after
+        flat, want = flat.reshape(-1, HIDDEN + 1), target.T.reshape(-1)
+        cls = np.where(want < COMMON, want // CLASS_WORDS, want - COMMON + CLASSES)
+        g = {}
         each = np.float32(1 / len(want))
-        soft = _soft_error(flat @ p["Wc"], p["bc"], cls, each)
-        ones = np.ones(len(want), np.float32)
-        g["Wc"], g["bc"] = flat.T @ soft, ones @ soft
+        weights, far = _bounded(p["Wc"].T, p["bc"], flat[:, :HIDDEN])
+        soft = flat @ weights.T
+        if far:
+            soft -= soft.max(axis=1, keepdims=True)
+        _soft_error(soft, cls, each)
+        both = flat.T @ soft
+        g["Wc"], g["bc"] = both[:HIDDEN], both[HIDDEN]
         dflat = soft @ p["Wc"].T
-        by = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[by], np.arange(CLASSES + 1)).tolist()
-        sorted_flat, sorted_want = flat[by], want[by] % CLASS_WORDS
-        back = np.zeros_like(dflat)
-        for k in range(CLASSES):
-            lo, hi = cuts[k], cuts[k + 1]
-            if hi > lo:
-                own = sorted_flat[lo:hi]
-                soft = _soft_error(own @ p["U"][k].T, p["bu"][k], sorted_want[lo:hi], each)
-                np.matmul(soft.T, own, out=g["U"][k])
-                np.matmul(ones[: hi - lo], soft, out=g["bu"][k])
-                np.matmul(soft, p["U"][k], out=back[lo:hi])
+        by, cuts = _by_class(cls)
+        rows = flat[by]
+        weights, far = _bounded(p["U"], p["bu"], flat[:, :HIDDEN])
+        soft, back, both = np.empty((len(by), CLASS_WORDS), kind), np.empty((len(by), HIDDEN), kind), np.zeros(weights.shape, kind)
+        there = [(k, slice(cuts[k], cuts[k + 1])) for k in range(CLASSES) if cuts[k + 1] > cuts[k]]
+        for k, own in there:
+            np.matmul(rows[own], weights[k].T, out=soft[own])
+            if far[k]:
+                soft[own] -= soft[own].max(axis=1, keepdims=True)
+        _soft_error(soft, want[by] % CLASS_WORDS, each)
+        for k, own in there:
+            np.matmul(soft[own].T, rows[own], out=both[k])
+            np.matmul(soft[own], p["U"][k], out=back[own])
+        g["U"], g["bu"] = both[..., :HIDDEN], both[..., HIDDEN]
         dflat[by] += back
-        dstate = dflat.reshape(steps, lanes, HIDDEN)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
-        to_x, to_h = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        dstate = np.ascontiguousarray(dflat.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        dh = np.zeros((HIDDEN, lanes), kind)
+        to_x, to_h = np.empty((steps, 3 * HIDDEN, lanes), kind), np.empty((3 * HIDDEN, lanes), kind)
+        g["Wh"] = np.zeros(p["Wh"].shape, kind)
         for t in range(steps - 1, -1, -1):
-            _, hb, z, r, n, ghn, new = kept[t]
-            dh = dh + dstate[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (hb - n) * z * (1 - z), dn * ghn * r * (1 - r)
-            to_x[t] = np.concatenate((dz, dr, dn), axis=1)
-            to_h[t] = np.concatenate((dz, dr, dn * r), axis=1)
-            dh = np.where(new, np.float32(0), dh * z + to_h[t] @ p["Wh"].T)
-        to_x, to_h = to_x.reshape(-1, 3 * HIDDEN), to_h.reshape(-1, 3 * HIDDEN)
-        g["Wx"] = np.concatenate([k[0] for k in kept]).T @ to_x
-        g["Wh"] = np.concatenate([k[1] for k in kept]).T @ to_h
-        g["b"] = to_x.sum(axis=0)
-        ids = given.T.reshape(-1)
-        by = np.argsort(ids, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-        g["E"][ids[by][cuts]] = np.add.reduceat((to_x @ p["Wx"].T)[by], cuts, axis=0)
+            hb, z, r, n, ghn, new = kept[t]
+            dh += dstate[t]
+            dz, dr, dn = to_x[t, :HIDDEN], to_x[t, HIDDEN : 2 * HIDDEN], to_x[t, 2 * HIDDEN :]
+            rest = 1 - z
+            rest *= dh
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            np.subtract(hb, n, out=dz)
+            dz *= z
+            dz *= rest
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= ghn
+            dr *= dn
+            to_h[: 2 * HIDDEN] = to_x[t, : 2 * HIDDEN]
+            np.multiply(dn, r, out=to_h[2 * HIDDEN :])
+            g["Wh"] += hb @ to_h.T
+            dh *= z
+            dh += p["Wh"] @ to_h
+            if new is not None:
+                dh[:, new] = 0
+        g["Wx"] = (x.transpose(0, 2, 1) @ to_x.transpose(0, 2, 1)).sum(axis=0)
+        g["b"] = (to_x @ np.ones(lanes, kind)).sum(axis=0)
+        by = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[by]
+        cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        g["E"] = np.zeros(p["E"].shape, kind)
+        g["E"][ids[cuts]] = np.add.reduceat((to_x.transpose(0, 2, 1) @ p["Wx"].T).reshape(-1, EMBED)[by], cuts, axis=0)
         return g, h
 
 
@@ -284,14 +375,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n) over all rows' tokens, ends included."""
 
     def run(batches):
-        found: Counter = Counter()
-        for batch in pieces(batches):
-            for text in batch.column(0).to_pylist():
-                found.update(tokens(text))
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=_COUNTED)
-                found = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=_COUNTED)
+        for batch in pieces(batches, rows=1 << 20, limit=16 << 20):
+            words = split_words(batch.column(0))[0]
+            found = words.value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END])]), pa.concat_arrays([found.field(1), pa.array([batch.num_rows])])], schema=_COUNTED)
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -308,14 +395,6 @@ def least_count(counts: DataFrame) -> int:
     return low
 
 
-def _ids(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    """The model's ids of words; ``ids`` has those at hand, common and tail."""
-    found = np.fromiter(map(ids.get, words, itertools.repeat(-1)), np.int32, len(words))
-    for i in np.flatnonzero(found < 0).tolist():
-        found[i] = COMMON + tail_of(words[i])
-    return found
-
-
 _WEIGHTS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("tokens", pa.float64()), ("v", pa.list_(pa.float32()))])
 _WEIGHTS_SQL = "block int, part int, tokens double, v array<float>"
 
@@ -339,11 +418,12 @@ def train_on(learn: DataFrame, model: GatedLM, ids: dict[bytes, int], tokens_in_
         def run(batches, shared=shared, no=no):
             model, ids = shared.value
             model = copy.deepcopy(model)
+            hand, model_ids = pa.array(list(ids), pa.binary()), np.array([*ids.values(), 0], np.int32)
             n = 0
             for batch in pieces(batches, rows=1 << 20, limit=PIECE):
-                texts = [_ids(tokens(t), ids) for t in batch.column(0).to_pylist()]
-                model.train(texts, seed=no)
-                n += sum(map(len, texts))
+                words, owner, sizes = split_words(batch.column(0))
+                model.train(sequences(words, owner, sizes, places_in(words, hand), model_ids), seed=no)
+                n += int(sizes.sum())
             if n:
                 weights = (model.flat() / np.float32(1e6)) * np.float32(n)
                 blocks = [weights[at : at + BLOCK] for at in range(0, len(weights), BLOCK)]
@@ -397,35 +477,33 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     model_ids = np.where(is_common, place, COMMON + tails).astype(np.int32)
     base_logs = np.log10((counts_of + 0.5) / unit)
     shares = np.where(is_common, 0.0, np.log10(counts_of + 0.5) - np.log10(mass)[tails])
-    at_hand = {w: i for i, (w, _) in enumerate(known_words)}
+    at_hand = [w for w, _ in known_words]
     train_on(learn, model, dict(zip(at_hand, model_ids.tolist())), total, rounds, share)
-    shared = spark.sparkContext.broadcast((model, at_hand, model_ids, base_logs, shares, counts_of > 0, np.log10(mass)))
+    # the last of each is that of words that are not at hand
+    shared = spark.sparkContext.broadcast((model, at_hand, *(np.append(x, x.dtype.type(0)) for x in (model_ids, base_logs, shares, counts_of > 0)), np.log10(mass)))
 
     def run(batches):
         model, at_hand, model_ids, base_logs, shares, seen, log_mass = shared.value
-        away_id = itertools.repeat(-1)
+        hand = pa.array(at_hand, pa.binary())
         for batch in pieces(batches, rows=10_000, limit=24 << 20):
-            seqs, base, known, tail, away, times = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = tokens(text)
-                place = np.fromiter(map(at_hand.get, words, away_id), np.int64, len(words))
-                other = np.flatnonzero(place < 0)
-                own = place if not len(other) else place[place >= 0]
-                seq = model_ids[place]
-                far = Counter([words[i] for i in other.tolist()])
-                s = float(shares[own].sum())
-                if far:
-                    t = {w: tail_of(w) for w in far}
-                    seq[other] = [COMMON + t[words[i]] for i in other.tolist()]
-                    s -= sum(n * log_mass[t[w]] for w, n in far.items())
-                seqs.append(seq)
-                base.append(float(base_logs[own].sum()))
-                known.append(int(seen[own].sum()))
-                tail.append(s)
-                away.append(list(far))
-                times.append(list(far.values()))
-            score = model.score(seqs) / math.log(10) + np.array(tail)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in seqs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(away, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], schema=_SCORED)
+            words, owner, sizes = split_words(batch.column(1))
+            place, rows = places_in(words, hand), len(sizes)
+            seqs = sequences(words, owner, sizes, place, model_ids)
+            # the end stands first at hand
+            base = base_logs[0] + np.bincount(owner, base_logs[place], rows)
+            known = int(seen[0]) + np.bincount(owner, seen[place], rows).astype(np.int64)
+            tail = np.bincount(owner, shares[place], rows)
+            other = np.flatnonzero(place < 0)
+            words, owner = words.take(pa.array(other)), owner[other]
+            tail -= np.bincount(owner, log_mass[tails_of(words)], rows)
+            words = words.dictionary_encode()
+            each = max(1, len(words.dictionary))
+            far, times = np.unique(owner.astype(np.int64) * each + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            cuts = pa.array(np.searchsorted(far, np.arange(rows + 1) * each), pa.int32())
+            away, times = (pa.ListArray.from_arrays(cuts, x) for x in (words.dictionary.take(pa.array(far % each)), pa.array(times, pa.int32())))
+            del words, owner, place, other, far
+            score = model.score(seqs) / math.log(10) + tail
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), away, times], schema=_SCORED)
 
     scored = checkpointed(source.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rest array<binary>, times array<int>"))
     scored = scored.withColumn("row", F.monotonically_increasing_id())  # the same in every reading of the written table

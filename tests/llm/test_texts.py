@@ -580,6 +580,41 @@ def test_gradient_is_that_of_the_loss():
         assert math.isclose((up - down) / (2 * step), g[k][at], rel_tol=1e-3, abs_tol=1e-7), k
 
 
+def test_words_of_a_batch_are_those_of_each_text():
+    # whole batches are split and looked up without a Python object for each word
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["x", None, "", "  The\tthe ", "a\x0bB\x1cc\u00a0d \u2003 É\x00 ß", " \r\n ", "a a é a", "z" * 5000]
+    column = pa.array(texts).slice(1)
+    hand = [gru.END, b"the", b"a"]
+    ids = {w: i for i, w in enumerate(hand)}
+    words, owner, sizes = gru.split_words(column)
+    own = [gru.tokens(t) for t in texts[1:]]
+    assert [bytes(w) for w in words.to_pylist()] == [w for t in own for w in t[:-1]] and sizes.tolist() == [len(t) for t in own]
+    found = gru.sequences(words, owner, sizes, gru.places_in(words, pa.array(hand, pa.binary())), np.array([0, 1, 2, 0], np.int32))
+    assert [x.tolist() for x in found] == [[ids.get(w, gru.COMMON + gru.tail_of(w)) for w in t] for t in own]
+    empty = gru.split_words(pa.array([None], pa.string()))
+    assert [x.tolist() for x in gru.sequences(*empty, gru.places_in(empty[0], pa.array(hand, pa.binary())), np.zeros(4, np.int32))] == [[0]]
+
+
+def test_wide_weights_keep_their_own_peaks():
+    # logits further apart than exp bears at one peak for all rows; each row is still a distribution
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = gru.GatedLM(np.array([5, 9, 7, 3]), np.array([2.0] * gru.TAILS))
+    for k in ("Wc", "U"):
+        model.p[k] = (rng.standard_normal(model.p[k].shape) * 60).astype(np.float32)
+    h = np.tanh(rng.standard_normal((50, gru.HIDDEN))).astype(np.float32)
+    ids = np.r_[np.arange(4), gru.COMMON + np.arange(gru.TAILS)]
+    logs = np.array([model.log_probs(np.repeat(x[None], len(ids), 0), ids) for x in h])
+    assert np.isfinite(logs).all() and np.allclose(np.exp(logs).sum(axis=1), 1, rtol=1e-4)
+    assert np.allclose(model.log_probs(h, np.resize(ids, 50)), logs[np.arange(50), np.arange(50) % len(ids)], rtol=1e-4, atol=1e-3)
+    given = np.resize(np.arange(4), (50, 8))
+    assert all(np.isfinite(x).all() for x in model._gradient(given, np.roll(given, -1, axis=1), h)[0].values())
+
+
 def test_scores_are_the_models_probabilities(spark, monkeypatch):
     # token by token in plain numpy, from the weights that training gave; held-out texts score above the base
     import numpy as np
