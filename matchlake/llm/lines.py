@@ -128,7 +128,13 @@ def _near(similarity: float) -> Column:
     edits = F.floor(F.greatest("n", "n_b") * F.lit(1 - similarity) + F.lit(1e-9))
     few, many = F.least(F.size("least"), F.size("least_b")), F.greatest(F.size("least"), F.size("least_b"))
     asked = F.when(many < SKETCH, many - edits).when(few < SKETCH, few - edits * 2).otherwise(ALIKE)
-    return (F.abs(F.col("n") - F.col("n_b")) <= edits) & (F.size(F.array_intersect("least", "least_b")) >= asked)
+    # words that are not in the other line are counted: two of one line that agree in their short form count as one there, so no pair is lost
+    return (F.abs(F.col("n") - F.col("n_b")) <= edits) & (F.size("least") - F.size(F.array_except("least", "least_b")) >= asked)
+
+
+def _short(least: str) -> Column:
+    """First words by 15 bits of their hashes: 2 bytes each go with a pair."""
+    return F.expr(f"transform({least}, x -> cast(x & 32767 as smallint))")
 
 
 def _sign() -> Column:
@@ -138,7 +144,7 @@ def _sign() -> Column:
 
 
 def _signed(ids: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, n, s): the lines of ``ids`` (id, distinct) with their number of words and _sign. The lines are read again.
+    """(id, n, s): the lines of ``ids`` (id, distinct) with their number of words and _sign. The lines are read again; only signs, not words, are shuffled.
 
     places: (id, first) with a line's document and number.
     """
@@ -147,8 +153,8 @@ def _signed(ids: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
     size = wanted.agg(F.sum(F.size("asked") + 4)).first()[0] or 0
     rows = texts.join(sized(wanted, 12, size), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("asked", F.split("text", "\n").alias("whole"))
     lines = rows.select(F.explode(F.transform("asked", lambda a: F.struct(a["id"].alias("id"), F.get("whole", a["pos"]).alias("line")))).alias("x"))
-    lines = lines.select("x.id", words_of(F.col("x.line")).alias("words")).dropDuplicates(["id"])
-    return checkpointed(lines.select("id", F.size("words").alias("n"), _sign().alias("s")))
+    lines = lines.select("x.id", words_of(F.col("x.line")).alias("words")).select("id", _sign().alias("s")).distinct()  # rows equal in id and text
+    return checkpointed(lines.select("id", F.length("s").alias("n"), "s"))
 
 
 def _verified(pairs: DataFrame, places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -197,7 +203,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the lines that met any other, with what is asked before their texts are compared
     met = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct())
     met = checkpointed(lines.select("id", "n", "least").join(sized(met, 16), "id"))
-    side = lambda x: met.select(F.col("id").alias(x), *[F.col(c).alias(c + "_b" * (x == "b")) for c in ("n", "least")])
+    side = lambda x: met.select(F.col("id").alias(x), *[c.alias(name + "_b" * (x == "b")) for name, c in (("n", F.col("n")), ("least", _short("least")))])
     near = _near(similarity)
     first = checkpointed(_verified(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), places, texts, similarity))
     merged = connected_components(first, native=True)
@@ -206,8 +212,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # blocks whose lines are not all in one group yet, with their lines' signs: only pairs that are near leave the join
         apart = own.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x != y").select("key")
         own = checkpointed(own.join(sized(checkpointed(apart), 16), "key"))
-        signs = _signed(checkpointed(own.select("id").distinct()), places, texts).select("id", "s")
-        own = checkpointed(own.join(met.join(signs, "id"), "id"))
+        ids = checkpointed(own.select("id").distinct())
+        signs = _signed(ids, places, texts).select("id", "s")
+        own = checkpointed(own.join(met.join(sized(ids, 16), "id").join(signs, "id"), "id"))
         left = own.select("key", "n", "least", "s", F.col("id").alias("a"), F.col("own").alias("x"))
         right = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "least", "s")], F.col("id").alias("b"), F.col("own").alias("y"))
         # of a pair's blocks the first tells; if that one is small, the pair has been compared

@@ -681,6 +681,32 @@ def test_scores_without_training_rows(spark):
     assert gru.score_documents(table(spark, []), F.lit(True)).count() == 0
 
 
+def test_short_first_words_lose_no_pair(spark):
+    # first words by 15 bits: words of one line that agree in them do not count against a pair
+    rng = random.Random(23)
+    rows = []
+    for _ in range(300):
+        pool = [(rng.randrange(4) << 15) | rng.randrange(14) for _ in range(60)]  # many agree in 15 bits
+        a, b = (sorted(dict.fromkeys(rng.sample(pool, 40)))[: rng.choice([5, 9, 12])] for _ in "ab")
+        rows.append((rng.randint(5, 40), a, rng.randint(5, 40), b))
+    pairs = spark.createDataFrame(rows, "n int, least array<int>, n_b int, least_b array<int>").withColumns({"near": lines._near(0.8), "wanted": F.size(F.array_intersect("least", "least_b"))})
+    pairs = pairs.withColumns({c: lines._short(c) for c in ("least", "least_b")}).withColumn("short", lines._near(0.8)).collect()
+    assert any(r["near"] for r in pairs) and all(r["short"] for r in pairs if r["near"])
+    assert all(type(x) is int and 0 <= x < 1 << 15 for r in pairs for x in r["least"])
+
+
+def test_signs_are_shuffled_not_words(spark, monkeypatch):
+    docs = lines._texts(table(spark, [(1, "one two three four five\nx"), (1, "one two three four five\nx"), (2, "a b c d e f g")]), "doc_id", "text")
+    written = lines.sketched_lines(docs, 5, []).checkpoint().dropDuplicates(["doc_id"])
+    places = written.select("id", F.struct("doc_id", "th", "pos").alias("first"))
+    kept, checkpointed = [], lines.checkpointed
+    monkeypatch.setattr(lines, "checkpointed", lambda df: kept.append(df) or checkpointed(df))
+    found = lines._signed(checkpointed(places.select("id")), checkpointed(places), docs).collect()
+    assert sorted((r["n"], len(r["s"])) for r in found) == [(5, 5), (7, 7)]  # rows equal in id and text give one
+    plan = kept[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "first(" not in plan
+
+
 # ---------------------------------------------------------------- op1
 
 
