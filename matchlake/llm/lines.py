@@ -90,10 +90,13 @@ def sketched_lines(texts: DataFrame, min_words: int, common: list[int]) -> DataF
     least = "wh"
     if common:
         least = f"transform(wh, h -> h | CASE WHEN cast(h & {WORD_CLASSES - 1}L as int) IN ({', '.join(map(str, common))}) THEN {1 << 62}L ELSE 0L END)"
+    # most lines' first different words are among the first 2 * SKETCH, so the others are not told apart; two steps, as each is used twice
+    named = worded_lines(texts, min_words).withColumn("sorted", F.expr(f"sort_array({least})")).withColumn("first", F.expr(f"array_distinct(slice(sorted, 1, {2 * SKETCH}))"))
+    enough = f"CASE WHEN size(first) >= {SKETCH} OR size(sorted) <= {2 * SKETCH} THEN first ELSE array_distinct(sorted) END"
     # of a place 31 bits are left: common or not, late or not, and 28 of the hash
-    least = f"transform(slice(array_distinct(sort_array({least})), 1, {SKETCH}), h -> cast(shiftright(h, 32) as int))"
+    least = f"transform(slice({enough}, 1, {SKETCH}), h -> cast(shiftright(h, 32) as int))"
     size = F.least(F.lit(CLASSES - 1), F.floor(F.log("n") * 16) - 24)  # 16 classes a factor of e, from 5 words
-    return worded_lines(texts, min_words).select((F.monotonically_increasing_id() * CLASSES + F.greatest(F.lit(0), size)).alias("id"), "h1", "h2", "doc_id", "th", "pos", "n", F.expr(least).alias("least"))
+    return named.select((F.monotonically_increasing_id() * CLASSES + F.greatest(F.lit(0), size)).alias("id"), "h1", "h2", "doc_id", "th", "pos", "n", F.expr(least).alias("least"))
 
 
 def block_keys(of: str = "") -> Column:

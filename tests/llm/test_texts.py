@@ -695,6 +695,18 @@ def test_short_first_words_lose_no_pair(spark):
     assert all(type(x) is int and 0 <= x < 1 << 15 for r in pairs for x in r["least"])
 
 
+def test_first_words_of_repetitive_lines(spark):
+    # the first different words, however often each is repeated, with and without common ones
+    rng = random.Random(29)
+    rows = [(i, " ".join(rng.choice([f"word{j}" for j in range(kinds)]) for _ in range(n))) for i, (kinds, n) in enumerate([(40, 60), (3, 30), (13, 400), (12, 24), (20, 25), (1, 9), (300, 300)])]
+    docs = lines._texts(table(spark, rows), "doc_id", "text")
+    for common in ([], list(range(0, 400, 2))):
+        last = f"IF(cast(h & {lines.WORD_CLASSES - 1}L as int) IN ({str(common)[1:-1]}), h | {1 << 62}L, h)" if common else "h"
+        wanted = F.expr(f"transform(slice(array_distinct(sort_array(transform(wh, h -> {last}))), 1, {lines.SKETCH}), h -> cast(shiftright(h, 32) as int))")
+        wanted = {r["doc_id"]: r["w"] for r in lines.worded_lines(docs, 5).select("doc_id", wanted.alias("w")).collect()}
+        assert {r["doc_id"]: r["least"] for r in lines.sketched_lines(docs, 5, common).collect()} == wanted
+
+
 def test_signs_are_shuffled_not_words(spark, monkeypatch):
     docs = lines._texts(table(spark, [(1, "one two three four five\nx"), (1, "one two three four five\nx"), (2, "a b c d e f g")]), "doc_id", "text")
     written = lines.sketched_lines(docs, 5, []).checkpoint().dropDuplicates(["doc_id"])
